@@ -91,13 +91,15 @@ def missing_patterns(df: DataFrame, features: list[str], identity: str) -> DataF
     )
 
 
-def distinct_flags(df: DataFrame, features: list[str], identity: str) -> DataFrame:
+def distinct_flags(
+    df: DataFrame, features: list[str], identity: str, min_missing: float = K.MISSING_FLAG_MIN
+) -> DataFrame:
     """Of the features that miss the same rows, the first in column order keeps its flag."""
     order = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature"))
     total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
     return (
         missing_patterns(df, features, identity)
-        .where(F.col("n_missing") > total * K.MISSING_FLAG_MIN)
+        .where(F.col("n_missing") > total * min_missing)
         .groupBy("n_missing", "print_a", "print_b")
         .agg(F.min_by("feature", order).alias("feature"), F.count(F.lit(1)).alias("n_sharing"))
         .select("feature", "n_missing", "n_sharing")

@@ -21,9 +21,9 @@ def score_histogram(scores: DataFrame, keys: list[str], score: str = "score", la
     )
 
 
-def score_curve(hist: DataFrame, keys: list[str]) -> DataFrame:
+def score_curve(hist: DataFrame, keys: list[str], small_groups: bool = False) -> DataFrame:
     """Per distinct score as threshold: alerts, tp, fp and the totals of the run."""
-    return prefix_sums(hist, keys, "score", ["n", "pos"], ascending=False).select(
+    return prefix_sums(hist, keys, "score", ["n", "pos"], ascending=False, small_groups=small_groups).select(
         *keys,
         "score",
         "n",

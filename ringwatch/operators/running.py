@@ -32,13 +32,24 @@ def _offsets(binned: DataFrame, keys: list[str], totals: dict[str, Column]) -> D
 
 
 def prefix_sums(
-    hist: DataFrame, keys: list[str], value: str, measures: list[str], ascending: bool = True
+    hist: DataFrame, keys: list[str], value: str, measures: list[str], ascending: bool = True,
+    small_groups: bool = False,
 ) -> DataFrame:
     """Add `{m}_before` (sum over strictly smaller values) and `{m}_total` per key.
 
-    `hist` must hold one row per key and value.
+    `hist` must hold one row per key and value. `small_groups` says that every key is known to
+    have few values and takes one window per key; else bins are used.
     """
     plain = list(hist.columns)
+    if small_groups:
+        whole = Window.partitionBy(*keys)
+        ordered = whole.orderBy(F.col(value) if ascending else F.desc(value))
+        earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+        return hist.select(
+            *plain,
+            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in measures],
+            *[F.sum(m).over(whole).alias(f"{m}_total") for m in measures],
+        )
     rows, keys = _with_keys(hist, keys)
     order = F.col(value) if ascending else -F.col(value)
     rows = rows.withColumn("_bin", value_bin(order))

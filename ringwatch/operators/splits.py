@@ -105,7 +105,8 @@ def bootstrap_precision_binned(
 
 
 def _replicate_precision(hist: DataFrame) -> DataFrame:
-    curve = score_curve(hist, ["replicate"])
+    # rows times replicates already had to fit; one replicate is a small group
+    curve = score_curve(hist, ["replicate"], small_groups=True)
     share = F.col("pos").cast("double") / F.col("n_pos") * F.col("tp") / F.col("alerts")
     return (
         curve.where("n_pos >= 2")

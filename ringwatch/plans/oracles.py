@@ -170,7 +170,7 @@ eg AS (
 ),
 dc AS (
   SELECT {keys}, max(rate) FILTER (rows >= 10) AS rate FROM (
-    SELECT {keys}, greatest(1, len(list_filter(e, x -> x < value))) AS bin, count(*) AS rows, avg(label::DOUBLE) AS rate
+    SELECT {keys}, greatest(1, len(list_filter(e, lambda x: x < value))) AS bin, count(*) AS rows, avg(label::DOUBLE) AS rate
     FROM {source} JOIN eg USING ({keys}) WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL
 ),
 hh AS (SELECT {keys}, value, count(*) AS n, sum(label) AS pos FROM {source} WHERE value IS NOT NULL GROUP BY ALL),

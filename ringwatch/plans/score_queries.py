@@ -92,7 +92,7 @@ def confusion(spark, sf):
 
 @query("calibration", f"""WITH {O.RUNS},
 e AS (SELECT run, quantile_cont(score, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e FROM runs GROUP BY 1)
-SELECT run, len(list_filter(e, x -> x < score))::INT AS bin, count(*) AS n, round(avg(score), 8) AS mean_score,
+SELECT run, len(list_filter(e, lambda x: x < score))::INT AS bin, count(*) AS n, round(avg(score), 8) AS mean_score,
   round(avg(label::DOUBLE), 8) AS positive_rate FROM runs JOIN e USING (run) GROUP BY 1, 2""")
 def calibration(spark, sf):
     return rounded(M.calibration_table(B.score_runs(spark, sf), 8, RUN), 8, "mean_score", "positive_rate")

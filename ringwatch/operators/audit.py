@@ -8,6 +8,7 @@ from ringwatch.functions.hashing import uniform
 from ringwatch.functions.labels import base_feature
 from ringwatch.operators.longform import feature_histogram
 from ringwatch.operators.running import prefix_sums, quantile_columns
+from ringwatch.session import cut_lineage
 
 DECILES = {f"_e{i}": i / 10 for i in range(11)}
 
@@ -55,21 +56,32 @@ def running_histogram(hist: DataFrame, keys: list[str]) -> DataFrame:
     return prefix_sums(filled(hist), [*keys, "feature"], "value", ["n", "pos"])
 
 
-def univariate_auc(running: DataFrame, keys: list[str]) -> DataFrame:
-    """ROC AUC of each feature alone, ties on mid-ranks, the better of both directions."""
+def _auc() -> Column:
     below = F.col("n_before") - F.col("pos_before")
     pairs = F.sum(F.col("pos").cast("double") * (below + (F.col("n") - F.col("pos")) / 2.0))
     all_pairs = F.max(F.col("pos_total").cast("double") * (F.col("n_total") - F.col("pos_total")))
     auc = F.try_divide(pairs, all_pairs)
-    return running.groupBy(*keys, "feature").agg(F.greatest(auc, 1.0 - auc).alias("auc"))
+    return F.greatest(auc, 1.0 - auc)
+
 
+def univariate_auc(running: DataFrame, keys: list[str]) -> DataFrame:
+    """ROC AUC of each feature alone, ties on mid-ranks, the better of both directions."""
+    return running.groupBy(*keys, "feature").agg(_auc().alias("auc"))
 
-def decile_edges(running: DataFrame, keys: list[str]) -> DataFrame:
-    return running.groupBy(*keys, "feature").agg(*quantile_columns("value", "n", "n_before", "n_total", DECILES))
+
+def feature_summary(running: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals, AUC and decile edges of each feature in one aggregate."""
+    return running.groupBy(*keys, "feature").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum("pos").alias("n_pos"),
+        F.count(F.lit(1)).alias("n_distinct"),
+        _auc().alias("auc"),
+        *quantile_columns("value", "n", "n_before", "n_total", DECILES),
+    )
 
 
 def decile_purity(
-    hist: DataFrame, running: DataFrame, keys: list[str], min_rows: int = K.AUDIT_MIN_ROWS, min_distinct: int = 10
+    running: DataFrame, summary: DataFrame, keys: list[str], min_rows: int = K.AUDIT_MIN_ROWS, min_distinct: int = 10
 ) -> DataFrame:
     """Highest positive rate over decile ranges with enough rows; equal values share a range.
 
@@ -80,8 +92,8 @@ def decile_purity(
     lowest = sum((F.when(F.col(e) == F.col("_e0"), 1).otherwise(0) for e in DECILES), F.lit(0))
     on = [*keys, "feature"]
     ranges = (
-        filled(hist)
-        .join(decile_edges(running, keys), on)
+        running.select(*on, "value", "n", "pos")
+        .join(summary.select(*on, *DECILES), on)
         .groupBy(*on, F.greatest(below, lowest).alias("range"))
         .agg(F.sum("n").alias("rows"), _rate().alias("rate"), F.count(F.lit(1)).alias("distinct"))
     )
@@ -89,16 +101,20 @@ def decile_purity(
     return ranges.groupBy(*on).agg(F.when(F.sum("distinct") >= min_distinct, best).alias("decile_rate"))
 
 
-def signatures(hist: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Totals, bucket purity, decile purity and AUC beside each other, per eligible feature."""
+def signatures(hist: DataFrame, keys: list[str] | None = None, min_rows: int = K.AUDIT_MIN_ROWS) -> DataFrame:
+    """Totals, bucket purity, decile purity and AUC beside each other, per feature.
+
+    All four read the running histogram, which is written once to the shared folder: the wide
+    table is scanned a single time.
+    """
     keys = keys or []
     on = [*keys, "feature"]
-    running = running_histogram(hist, keys)
+    running = cut_lineage(running_histogram(hist, keys))
+    summary = feature_summary(running, keys)
     return (
-        eligible(feature_totals(hist, keys))
-        .join(bucket_purity(hist, keys), on)
-        .join(decile_purity(hist, running, keys), on)
-        .join(univariate_auc(running, keys), on)
+        summary.drop(*DECILES)
+        .join(bucket_purity(running, keys, min_rows), on)
+        .join(decile_purity(running, summary, keys, min_rows), on)
         .withColumns(
             {
                 "bucket_rate": F.coalesce("bucket_rate", F.lit(0.0)),
@@ -132,7 +148,7 @@ def integrity_audit(
     """Severity-ranked findings of a labelled table; features without a finding are left out."""
     hist = feature_histogram(df, features, label)
     base = df.agg(F.avg(F.col(label).cast("double")).alias("b"))
-    found = with_severity(signatures(hist), base.scalar(), hinted).where("severity is not null")
+    found = with_severity(eligible(signatures(hist)), base.scalar(), hinted).where("severity is not null")
     return found.select(
         "feature",
         "severity",
@@ -170,11 +186,8 @@ def range_only_leaks(findings: DataFrame, rate: float = K.LEAK_RATE) -> DataFram
 
 def purity(hist: DataFrame, keys: list[str] | None = None, min_rows: int = K.AUDIT_MIN_ROWS) -> DataFrame:
     """Worst of bucket and decile purity per feature, the measure of the leak detector."""
-    keys = keys or []
-    on = [*keys, "feature"]
-    running = running_histogram(hist, keys)
-    both = bucket_purity(hist, keys, min_rows).join(decile_purity(hist, running, keys, min_rows), on)
-    return both.select(*on, F.greatest("bucket_rate", "decile_rate").alias("worst_rate"))
+    signed = signatures(hist, keys, min_rows)
+    return signed.select(*(keys or []), "feature", F.greatest("bucket_rate", "decile_rate").alias("worst_rate"))
 
 
 def leaking_features(

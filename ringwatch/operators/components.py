@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import constants as K
-from ringwatch.operators.skew import attach
+from ringwatch.operators.skew import HOT_MIN_ROWS, attach
 from ringwatch.session import cut_lineage
 
 MAX_ROUNDS = 100
@@ -34,26 +34,39 @@ def nodes_of(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     return edges.select(F.col(src).alias("id")).union(edges.select(F.col(dst).alias("id"))).distinct()
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with the smallest neighbour of u, itself included, on every row."""
+def _star(pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """(u, v) pairs with the smallest neighbour of u, itself included, on every row.
+
+    A root ends up with most of the pairs, so the join spreads hot ids; with too few pairs for
+    any id to be hot the check is left out.
+    """
     mins = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_w"))
+    if n_pairs < HOT_MIN_ROWS:
+        return pairs.join(mins.drop("_w"), "u")
     return attach(pairs, mins, "u", "_w", ["u", "v"], how="inner")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(
         edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))
     )
-    linked = _star(both).where("v > u").select(F.col("m").alias("src"), F.col("v").alias("dst"))
+    linked = _star(both, 2 * n).where("v > u").select(F.col("m").alias("src"), F.col("v").alias("dst"))
     return linked.where("src <> dst").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    pairs = _star(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    pairs = _star(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")), n)
     linked = pairs.select(F.col("m").alias("src"), F.explode(F.array("u", "v")).alias("dst"))
     return linked.where("src <> dst").distinct()
 
 
+def _round(edges: DataFrame, n: int) -> DataFrame:
+    linked = _large_star(edges, n)
+    if 2 * n >= HOT_MIN_ROWS:
+        linked = cut_lineage(linked)  # the skew check of the second star reads it again
+    return cut_lineage(_small_star(linked, n))
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
     return row["n"], row["x"]
@@ -66,11 +79,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     the same. Every round is written to the shared checkpoint folder, so the plan does not
     grow and a lost executor costs one round at most.
     """
-    nodes = (nodes_of(edges) if nodes is None else nodes.select("id")).distinct()
-    current = cut_lineage(undirected(edges))
+    # written once: the rounds, the node list and any caller that joins the result read it
+    given = cut_lineage(edges.select("src", "dst").distinct())
+    nodes = nodes_of(given) if nodes is None else nodes.select("id").distinct()
+    current = undirected(given)
     before = _fingerprint(current)
     for _ in range(MAX_ROUNDS):
-        current = cut_lineage(_small_star(_large_star(current)))
+        current = _round(current, before[0])
         after = _fingerprint(current)
         if after == before:
             break

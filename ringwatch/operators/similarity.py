@@ -13,11 +13,29 @@ from pyspark.sql import functions as F
 from ringwatch import constants as K
 from ringwatch.functions.hashing import uniform
 from ringwatch.operators.running import exact_quantiles, row_numbers
+from ringwatch.session import cut_lineage
 
 BLOCK_ROWS = 2048
 DIGITS = 6
 
 
+def _with_filled_medians(stats: DataFrame, medians: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and spread of each dimension after its gaps are filled with the median.
+
+    Both follow from the counts, so the cells are not read again.
+    """
+    gaps = F.col("n_all") - F.col("n")
+    mean = (F.col("mean") * F.col("n") + F.col("med") * gaps) / F.col("n_all")
+    shift, med_shift = F.col("mean") - mean, F.col("med") - mean
+    var = (F.col("n") * (F.col("std") * F.col("std") + shift * shift) + gaps * med_shift * med_shift) / F.col("n_all")
+    return stats.join(medians, by, "left").select(
+        *by,
+        "med",
+        F.when(gaps == 0, F.col("mean")).otherwise(mean).alias("mean"),
+        F.when(gaps == 0, F.col("std")).otherwise(F.sqrt(var)).alias("std"),
+    )
+
+
 def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Replace missing cells by the median of their dimension, then scale to mean 0, spread 1.
 
@@ -25,30 +43,16 @@ def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) ->
     they are joined as one array row (per key).
     """
     keys = keys or []
-    cells = vectors.select(*keys, "id", F.posexplode("vector").alias("dim", "x"))
     by = [*keys, "dim"]
-    medians = exact_quantiles(cells, "x", {"med": 0.5}, by)
-    stats = (
-        cells.groupBy(*by)
-        .agg(
-            F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n"),
-            F.count(F.lit(1)).alias("n_all"),
-        )
-        .join(medians, by, "left")
-    )
-    # a filled-in median moves mean and spread; both follow from the counts
-    gaps = F.col("n_all") - F.col("n")
-    mean = (F.col("mean") * F.col("n") + F.col("med") * gaps) / F.col("n_all")
-    shift = F.col("mean") - mean
-    med_shift = F.col("med") - mean
-    var = (F.col("n") * (F.col("std") * F.col("std") + shift * shift) + gaps * med_shift * med_shift) / F.col("n_all")
-    exact = gaps == 0
-    stats = stats.select(
-        *by,
-        F.col("med"),
-        F.when(exact, F.col("mean")).otherwise(mean).alias("mean"),
-        F.when(exact, F.col("std")).otherwise(F.sqrt(var)).alias("std"),
+    cells = vectors.select(*keys, "id", F.posexplode("vector").alias("dim", "x"))
+    stats = cells.groupBy(*by).agg(
+        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n"),
+        F.count(F.lit(1)).alias("n_all"),
     )
+    if vectors.where(F.exists("vector", lambda x: x.isNull())).isEmpty():
+        stats = stats.withColumn("med", F.lit(None).cast("double"))
+    else:
+        stats = _with_filled_medians(stats, exact_quantiles(cells, "x", {"med": 0.5}, by), by)
     packed = stats.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("dim", "med", "mean", "std"))),
@@ -80,6 +84,11 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     )
 
 
+def standard_units(vectors: DataFrame) -> DataFrame:
+    """Imputed, standardised, length-one vectors, written once for the passes that follow."""
+    return cut_lineage(unit_vectors(impute_and_standardise(vectors)).select("id", "vector"))
+
+
 def _block_count(df: DataFrame, block_rows: int) -> int:
     return max(1, math.ceil(df.count() / block_rows))
 
@@ -100,8 +109,8 @@ def _self_blocks(units: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def pair_similarity_counts(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(similarity, n): how many pairs share each similarity, rounded to six digits."""
+def pair_similarity_counts(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(similarity, n): how many pairs of unit vectors share each cosine, rounded to six digits."""
     digits = DIGITS
 
     def count(key, pdf):
@@ -119,21 +128,21 @@ def pair_similarity_counts(vectors: DataFrame, block_rows: int = BLOCK_ROWS) ->
         values, counts = np.unique(np.round(sims, digits).ravel() + 0.0, return_counts=True)
         return pd.DataFrame({"similarity": values, "n": counts})
 
-    blocks = _self_blocks(unit_vectors(vectors), block_rows)
+    blocks = _self_blocks(units, block_rows)
     per_task = blocks.groupBy("_a", "_b").applyInPandas(count, "similarity double, n bigint")
     return per_task.groupBy("similarity").agg(F.sum("n").alias("n"))
 
 
-def similarity_cut(vectors: DataFrame, quantile: float = K.EDGE_QUANTILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similarity_cut(units: DataFrame, quantile: float = K.EDGE_QUANTILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row: the similarity that the given share of all pairs stays below."""
     from ringwatch.operators.running import prefix_sums, quantile_columns
 
-    running = prefix_sums(pair_similarity_counts(vectors, block_rows), [], "similarity", ["n"])
+    running = prefix_sums(pair_similarity_counts(units, block_rows), [], "similarity", ["n"])
     return running.agg(*quantile_columns("similarity", "n", "n_before", "n_total", {"cut": quantile}))
 
 
-def similar_pairs(vectors: DataFrame, min_similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(src, dst, similarity) of all pairs at or above the cut; smaller id first."""
+def similar_pairs(units: DataFrame, min_similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst, similarity) of all pairs of unit vectors at or above the cut; smaller id first."""
     digits = DIGITS
 
     def pairs(key, pdf):
@@ -153,7 +162,7 @@ def similar_pairs(vectors: DataFrame, min_similarity: float, block_rows: int = B
         x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "similarity": sims[i, j]})
 
-    blocks = _self_blocks(unit_vectors(vectors), block_rows)
+    blocks = _self_blocks(units, block_rows)
     return blocks.groupBy("_a", "_b").applyInPandas(pairs, "src bigint, dst bigint, similarity double")
 
 
@@ -163,15 +172,17 @@ def similarity_graph(
     """Edges between the most similar pairs, after imputing and standardising.
 
     The cut is a single number and is read at plan time, so each task can drop pairs at once.
+    The share is over all pairs, which takes every block against every other: meant for the
+    confirmed positives. For large sets give `similar_pairs` a fixed cut.
     """
-    scaled = impute_and_standardise(vectors)
-    cut = similarity_cut(scaled, quantile, block_rows).first()["cut"]
-    return similar_pairs(scaled, cut, block_rows)
+    units = standard_units(vectors)
+    cut = similarity_cut(units, quantile, block_rows).first()["cut"]
+    return similar_pairs(units, cut, block_rows)
 
 
 def ego_network(vectors: DataFrame, centre: int, k: int = K.EGO_NEIGHBOURS) -> DataFrame:
     """The k most similar accounts of one account, ties by id."""
-    units = unit_vectors(impute_and_standardise(vectors))
+    units = standard_units(vectors)
     one = units.where(F.col("id") == centre).select("vector")
     sims = (
         units.where(F.col("id") != centre)
@@ -243,7 +254,7 @@ def _mean_pair_similarity(grouped: DataFrame, group: str) -> DataFrame:
 
 def ring_cohesion(vectors: DataFrame, members: DataFrame) -> DataFrame:
     """(ring_id, n, cohesion): mean pair similarity inside each ring."""
-    units = unit_vectors(impute_and_standardise(vectors)).select("id", "vector")
+    units = standard_units(vectors)
     return _mean_pair_similarity(members.select("ring_id", "id").join(units, "id"), "ring_id")
 
 
@@ -273,8 +284,8 @@ def cohesion_against_chance(
     seed: int | str = 42,
 ) -> DataFrame:
     """One row: cohesion of ring 1, and mean and 95th percentile over random groups of its size."""
-    units = unit_vectors(impute_and_standardise(vectors)).select("id", "vector")
-    chance = _mean_pair_similarity(random_groups(pool, size, groups, seed).join(units, "id"), "grp")
+    units = standard_units(vectors)
+    chance = cut_lineage(_mean_pair_similarity(random_groups(pool, size, groups, seed).join(units, "id"), "grp"))
     ring = _mean_pair_similarity(members.where("ring_id = 1").select("ring_id", "id").join(units, "id"), "ring_id")
     p95 = exact_quantiles(chance, "cohesion", {"p95": 0.95})
     return ring.select(F.col("n").alias("ring_size"), F.col("cohesion").alias("ring_similarity")).withColumns(

@@ -28,8 +28,8 @@ def audit_buckets(spark, sf):
 
 @query("audit_deciles", f"WITH {_SIG} SELECT feature, CASE WHEN n_distinct >= 10 THEN round(rate, 8) END AS decile_rate FROM dc JOIN tot USING (feature)")
 def audit_deciles(spark, sf):
-    hist = _hist(spark, sf)
-    return rounded(A.decile_purity(hist, A.running_histogram(hist, []), []), 8, "decile_rate")
+    running = A.running_histogram(_hist(spark, sf), [])
+    return rounded(A.decile_purity(running, A.feature_summary(running, []), []), 8, "decile_rate")
 
 
 @query("audit_auc", f"WITH {_SIG} SELECT feature, round(auc, 8) AS auc FROM au")

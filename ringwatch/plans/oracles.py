@@ -276,11 +276,11 @@ edges AS (SELECT DISTINCT least(sender, receiver) AS src, greatest(sender, recei
 
 # Smallest reachable id per node: repeated relaxation along both edge directions.
 COMPONENTS = """
-both AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+link AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach AS (
-  SELECT a AS id, a AS r FROM both
+  SELECT a AS id, a AS r FROM link
   UNION
-  SELECT both.b, reach.r FROM reach JOIN both ON both.a = reach.id WHERE reach.r < both.b
+  SELECT link.b, reach.r FROM reach JOIN link ON link.a = reach.id WHERE reach.r < link.b
 ),
 comp AS (SELECT id, min(r) AS component FROM reach GROUP BY 1)
 """

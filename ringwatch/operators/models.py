@@ -24,6 +24,7 @@ from ringwatch.functions.hashing import uniform
 from ringwatch.operators.longform import to_long
 from ringwatch.operators.metrics import rank_metrics
 from ringwatch.operators.splits import stratified_folds
+from ringwatch.session import cut_lineage
 
 LABEL, WEIGHT, FEATURES, SCORE = "label", "_weight", "_features", "score"
 
@@ -48,7 +49,7 @@ def boosted_trees(rounds: int = 40, depth: int = 4, step: float = 0.1, subsample
 
 def logistic(reg: float = 0.01, max_iter: int = 100):
     return LogisticRegression(
-        labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, regParam=reg, maxIter=max_iter, standardization=False
+        labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, regParam=reg, maxIter=max_iter
     )
 
 
@@ -97,7 +98,11 @@ def out_of_fold(
     folded: DataFrame, features: list[str], learner: Callable[[], Estimator], k: int, scale: bool = False,
     calibrate: bool = False,
 ) -> DataFrame:
-    """Each row scored by the model that was fitted without its fold."""
+    """Each row scored by the model that was fitted without its fold.
+
+    The dealt rows are written once; every fit reads that table.
+    """
+    folded = cut_lineage(folded)
     out = None
     for i in range(k):
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
@@ -122,9 +127,13 @@ class Calibrated:
     ) -> "Calibrated":
         inner = out_of_fold(
             stratified_folds(df, k, LABEL, [identity], seed="inner"), features, learner, k, scale
-        ).select(LABEL, F.col(SCORE).alias("raw"))
+        )
+        # equal scores weigh as one row: the sigmoid sees the histogram, not the accounts
+        inner = inner.groupBy(F.col(LABEL).cast("double").alias(LABEL), F.col(SCORE).alias("raw")).agg(
+            F.count(F.lit(1)).cast("double").alias("n")
+        )
         assembler = VectorAssembler(inputCols=["raw"], outputCol="_raw_vec")
-        sigmoid = LogisticRegression(labelCol=LABEL, featuresCol="_raw_vec", standardization=False)
+        sigmoid = LogisticRegression(labelCol=LABEL, featuresCol="_raw_vec", weightCol="n")
         fitted = Pipeline(stages=[assembler, sigmoid]).fit(inner)
         return cls(fit(df, features, learner(), scale), fitted, features)
 
@@ -143,14 +152,17 @@ class Calibrated:
 
 def holdout_evaluation(
     df: DataFrame, features: list[str], learner: Callable[[], Estimator], identity: str = "account_id", k: int = 5,
+    scale: bool = False,
 ) -> tuple[DataFrame, DataFrame, Calibrated]:
     """Metrics on a stratified fifth, its scores, and the model refitted on all rows."""
     from ringwatch.operators.splits import holdout_split
 
     split = holdout_split(df, LABEL, [identity], k=k)
-    trained = Calibrated.fit(split.where("not is_holdout").drop("is_holdout"), features, learner, identity=identity)
+    split = cut_lineage(split)
+    train = split.where("not is_holdout").drop("is_holdout")
+    trained = Calibrated.fit(train, features, learner, identity=identity, scale=scale)
     scored = trained.score(split.where("is_holdout").drop("is_holdout"))
-    return rank_metrics(scored, []), scored, Calibrated.fit(df, features, learner, identity=identity)
+    return rank_metrics(scored, []), scored, Calibrated.fit(df, features, learner, identity=identity, scale=scale)
 
 
 def compare_models(
@@ -217,14 +229,16 @@ def bagged_unlabelled(
     """Positive-unlabelled bagging: every row gets the mean score of the bags it was not in.
 
     A bag holds a random four fifths of the positives and about as many negatives, so positives
-    too are scored by trees that never saw them.
+    too are scored by trees that never saw them. Each row has one bag it never joins, so no row
+    is left without a score.
     """
     ratio = 1.0 / max(positive_weight(df), 1.0)
-    rows = as_doubles(df, features)
+    rows = cut_lineage(as_doubles(df, features))
+    home = F.floor(uniform(f"{seed}home", identity) * bags)
     out = None
     for b in range(bags):
         u = uniform(f"{seed}b{b}", identity)
-        inside = F.when(F.col(LABEL) == 1, u < 0.8).otherwise(u < 0.8 * ratio)
+        inside = F.when(F.col(LABEL) == 1, u < 0.8).otherwise(u < 0.8 * ratio) & (home != b)
         marked = rows.withColumn("_inside", inside)
         train = marked.where("_inside").drop("_inside").withColumn(WEIGHT, F.lit(1.0))
         tree = DecisionTreeClassifier(

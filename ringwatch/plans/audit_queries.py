@@ -21,15 +21,15 @@ def _hist(spark, sf):
     return feature_histogram(B.audit_matrix(spark, sf), FEATURES, "label")
 
 
-@query("audit_buckets", f"WITH {_SIG} SELECT feature, round(bucket_rate, 8) AS bucket_rate FROM bk")
+@query("audit_buckets", f"WITH {_SIG} SELECT feature, bucket_rate FROM bk")
 def audit_buckets(spark, sf):
-    return rounded(A.bucket_purity(_hist(spark, sf), []), 8, "bucket_rate")
+    return A.bucket_purity(_hist(spark, sf), [])
 
 
-@query("audit_deciles", f"WITH {_SIG} SELECT feature, CASE WHEN n_distinct >= 10 THEN round(rate, 8) END AS decile_rate FROM dc JOIN tot USING (feature)")
+@query("audit_deciles", f"WITH {_SIG} SELECT feature, CASE WHEN n_distinct >= 10 THEN rate END AS decile_rate FROM dc JOIN tot USING (feature)")
 def audit_deciles(spark, sf):
     running = A.running_histogram(_hist(spark, sf), [])
-    return rounded(A.decile_purity(running, A.feature_summary(running, []), []), 8, "decile_rate")
+    return A.decile_purity(running, A.feature_summary(running, []), [])
 
 
 @query("audit_auc", f"WITH {_SIG} SELECT feature, round(auc, 8) AS auc FROM au")
@@ -89,10 +89,10 @@ def audit_lines(spark, sf):
     return A.audit_lines(_findings(spark, sf))
 
 
-@query("leak_list", f"""WITH {_SIG} SELECT feature, round(greatest(coalesce(bucket_rate, 0), decile_rate), 8) AS worst_rate FROM sig
+@query("leak_list", f"""WITH {_SIG} SELECT feature, greatest(coalesce(bucket_rate, 0), decile_rate) AS worst_rate FROM sig
 WHERE greatest(bucket_rate, decile_rate) >= 0.1 AND feature <> 'l_suppkey'""")
 def leak_list(spark, sf):
-    return rounded(A.leaking_features(_hist(spark, sf), hinted=["l_suppkey"]), 8, "worst_rate")
+    return A.leaking_features(_hist(spark, sf), hinted=["l_suppkey"])
 
 
 @query("leak_sweep", f"""WITH {_SIG}, r AS (SELECT unnest([1.01, 0.3, 0.2, 0.1, 0.05, 0.03, 0.02])::DOUBLE AS leak_rate)
@@ -108,11 +108,11 @@ tr AS (SELECT k.fold, feature, value, label FROM long JOIN fd USING (account_id)
 {O.purity_sql('tr', 'fold')}"""
 
 
-@query("leak_infold", f"WITH {_INFOLD} SELECT fold, feature, round(greatest(bucket_rate, decile_rate), 8) AS worst_rate FROM sig WHERE greatest(bucket_rate, decile_rate) >= 0.02")
+@query("leak_infold", f"WITH {_INFOLD} SELECT fold, feature, greatest(bucket_rate, decile_rate) AS worst_rate FROM sig WHERE greatest(bucket_rate, decile_rate) >= 0.02")
 def leak_infold(spark, sf):
     numbered = row_numbers(B.audit_matrix(spark, sf), ["label"], ["account_id"], 42)
     dealt = numbered.withColumn("fold", F.pmod("rn", F.lit(5)).cast("int"))
-    return rounded(A.infold_leaks(dealt, FEATURES, "label", 5, rate=0.02), 8, "worst_rate")
+    return A.infold_leaks(dealt, FEATURES, "label", 5, rate=0.02)
 
 
 @query("snapshot_profile", f"""WITH {O.SNAPSHOT}, {O.PROFILE}

@@ -98,7 +98,7 @@ def as_event_feed(events: DataFrame) -> DataFrame:
 
 def line_id():
     """Text id of a line item; order and line alone repeat in the sample tables."""
-    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"))
 
 
 def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

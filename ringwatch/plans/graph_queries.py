@@ -148,10 +148,10 @@ def node_degrees(spark, sf):
 
 
 @query("component_purity", f"""WITH RECURSIVE {O.FLOWS}, {O.COMPONENTS}, bad AS (SELECT s_suppkey + 1000000 AS id FROM supplier WHERE s_acctbal < 3000)
-SELECT component, count(*) AS size, round(avg((id IN (SELECT id FROM bad))::INT::DOUBLE), 8) AS purity FROM comp GROUP BY 1 HAVING count(*) >= 3""")
+SELECT component, count(*) AS size, avg((id IN (SELECT id FROM bad))::INT::DOUBLE) AS purity FROM comp GROUP BY 1 HAVING count(*) >= 3""")
 def component_purity(spark, sf):
     marked = B.table(spark, sf, "supplier").where("s_acctbal < 3000").select((F.col("s_suppkey") + 1000000).alias("id"))
-    return rounded(C.component_purity(C.connected_components(_edges(spark, sf)), marked), 8, "purity")
+    return C.component_purity(C.connected_components(_edges(spark, sf)), marked)
 
 
 _RECOVERY = f"""{O.FLOWS}, {O.COMPONENTS},
@@ -168,9 +168,9 @@ def _recovered(spark, sf):
     return C.ring_recovery(planted, C.connected_components(_edges(spark, sf)))
 
 
-@query("ring_recovery", f"WITH RECURSIVE {_RECOVERY} SELECT alert_id, n_planted, round(best_jaccard, 8) AS best_jaccard FROM rec")
+@query("ring_recovery", f"WITH RECURSIVE {_RECOVERY} SELECT alert_id, n_planted, best_jaccard FROM rec")
 def ring_recovery(spark, sf):
-    return rounded(_recovered(spark, sf), 8, "best_jaccard")
+    return _recovered(spark, sf)
 
 
 @query("recovery_summary", f"""WITH RECURSIVE {_RECOVERY} SELECT count(*) AS n_planted, round(avg(best_jaccard), 8) AS mean_best_jaccard,

@@ -69,7 +69,7 @@ rollup_rows AS (
 
 RUNS = """
 li AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS account_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS account_id,
          floor(l_extendedprice / 20.0::DOUBLE) / 10000.0::DOUBLE AS price,
          floor(l_quantity * 140 + l_discount * 30000 + 0.5::DOUBLE) / 10000.0::DOUBLE AS mixed,
          (l_returnflag = 'R')::INT AS common,
@@ -130,7 +130,7 @@ tbl AS (
 
 AUDIT = """
 li AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS account_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT) AS account_id,
          (l_returnflag = 'R' AND l_quantity >= 45 AND l_discount >= 0.08::DOUBLE)::INT AS label,
          l_quantity, l_tax, l_discount, l_extendedprice, l_suppkey::DOUBLE AS l_suppkey
   FROM lineitem
@@ -164,9 +164,11 @@ bk AS (
     SELECT {keys}, round_even(value, 3) AS b, count(*) AS rows, avg(label::DOUBLE) AS rate
     FROM {source} WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL
 ),
+srt AS (SELECT {keys}, list(value ORDER BY value) AS s, count(*) - 1 AS m FROM {source} WHERE value IS NOT NULL GROUP BY ALL),
 eg AS (
-  SELECT {keys}, list_sort(list_distinct(quantile_cont(value, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e
-  FROM {source} WHERE value IS NOT NULL GROUP BY ALL
+  SELECT {keys}, list_sort(list_distinct(list_transform(range(0, 11), lambda k:
+    s[(k * m) // 10 + 1] + (s[least((k * m) // 10 + 2, m + 1)] - s[(k * m) // 10 + 1]) * (((k * m) % 10) / 10.0::DOUBLE)))) AS e
+  FROM srt
 ),
 dc AS (
   SELECT {keys}, max(rate) FILTER (rows >= 10) AS rate FROM (

@@ -23,39 +23,38 @@ m AS (SELECT run, sum(pos::DOUBLE / n_pos * (tp::DOUBLE / alerts)) AS average_pr
         max(n_rows)::BIGINT AS n_rows, max(n_pos)::BIGINT AS n_pos FROM neg GROUP BY 1),
 b AS (SELECT run, avg((score - label) * (score - label)) AS brier, avg(label::DOUBLE) AS prevalence FROM runs GROUP BY 1)
 SELECT run, round(average_precision, 8) AS average_precision, round(roc_auc, 8) AS roc_auc, round(brier, 8) AS brier,
-  round(prevalence, 8) AS prevalence, round(recall_at_half_precision, 8) AS recall_at_half_precision, n_rows, n_pos
+  prevalence, recall_at_half_precision, n_rows, n_pos
 FROM m JOIN b USING (run)""")
 def rank_metrics(spark, sf):
     out = M.rank_metrics(B.score_runs(spark, sf), RUN)
-    return rounded(out, 8, "average_precision", "roc_auc", "brier", "prevalence", "recall_at_half_precision")
+    return rounded(out, 8, "average_precision", "roc_auc", "brier")
 
 
 @query("pr_curve", f"""WITH {O.CURVE}
-SELECT run, score AS threshold, round(tp::DOUBLE / alerts, 8) AS precision, round(tp::DOUBLE / n_pos, 8) AS recall FROM curve
+SELECT run, score AS threshold, tp::DOUBLE / alerts AS precision, tp::DOUBLE / n_pos AS recall FROM curve
 UNION ALL SELECT DISTINCT run, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM runs""")
 def pr_curve(spark, sf):
-    return rounded(M.pr_points(B.score_runs(spark, sf), RUN), 8, "precision", "recall")
+    return M.pr_points(B.score_runs(spark, sf), RUN)
 
 
 @query("roc_curve", f"""WITH {O.CURVE}
-SELECT run, score AS threshold, round((alerts - tp)::DOUBLE / (n_rows - n_pos), 8) AS fpr, round(tp::DOUBLE / n_pos, 8) AS tpr
+SELECT run, score AS threshold, (alerts - tp)::DOUBLE / (n_rows - n_pos) AS fpr, tp::DOUBLE / n_pos AS tpr
 FROM curve UNION ALL SELECT DISTINCT run, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM runs""")
 def roc_curve(spark, sf):
-    return rounded(M.roc_points(B.score_runs(spark, sf), RUN), 8, "fpr", "tpr")
+    return M.roc_points(B.score_runs(spark, sf), RUN)
 
 
-_TABLE = "SELECT run, threshold, alerts, caught, false_alarms, round(precision, 8) AS precision, round(recall, 8) AS recall"
+_TABLE = "SELECT run, threshold, alerts, caught, false_alarms, precision, recall"
 
 
 @query("threshold_table", f"WITH {O.threshold_sql(K.PERCENT_GRID)} {_TABLE}, n_pos, n_rows FROM tbl")
 def threshold_table(spark, sf):
-    return rounded(M.threshold_table(B.score_runs(spark, sf), K.PERCENT_GRID, RUN), 8, "precision", "recall")
+    return M.threshold_table(B.score_runs(spark, sf), K.PERCENT_GRID, RUN)
 
 
 @query("dial_table", f"WITH {O.threshold_sql(K.DIAL_GRID)} {_TABLE} FROM tbl")
 def dial_table(spark, sf):
-    out = M.threshold_table(B.score_runs(spark, sf), K.DIAL_GRID, RUN).drop("n_pos", "n_rows")
-    return rounded(out, 8, "precision", "recall")
+    return M.threshold_table(B.score_runs(spark, sf), K.DIAL_GRID, RUN).drop("n_pos", "n_rows")
 
 
 def _recall_sql(grid, targets):
@@ -64,38 +63,38 @@ def _recall_sql(grid, targets):
 q AS (SELECT * FROM (VALUES {wanted}) AS v(target_recall)),
 best AS (SELECT run, target_recall, max(threshold) FILTER (recall >= target_recall) AS threshold, max(recall) AS max_recall
          FROM tbl CROSS JOIN q GROUP BY 1, 2)
-SELECT b.run, target_recall, b.threshold IS NOT NULL AS achievable, b.threshold, round(t.precision, 8) AS precision,
-  round(t.recall, 8) AS achieved_recall, t.false_alarms, t.alerts, round(max_recall, 8) AS max_recall
+SELECT b.run, target_recall, b.threshold IS NOT NULL AS achievable, b.threshold, t.precision,
+  t.recall AS achieved_recall, t.false_alarms, t.alerts, max_recall
 FROM best b LEFT JOIN tbl t ON t.run = b.run AND t.threshold = b.threshold"""
 
 
 @query("recall_point", _recall_sql(K.RECALL_GRID, [K.RECALL_TARGET]))
 def recall_point(spark, sf):
     table = M.threshold_table(B.score_runs(spark, sf), K.RECALL_GRID, RUN)
-    return rounded(M.recall_points(table, [K.RECALL_TARGET], RUN), 8, "precision", "achieved_recall", "max_recall")
+    return M.recall_points(table, [K.RECALL_TARGET], RUN)
 
 
 @query("recall_ladder", _recall_sql(K.PERCENT_GRID, K.RECALL_LADDER))
 def recall_ladder(spark, sf):
     table = M.threshold_table(B.score_runs(spark, sf), K.PERCENT_GRID, RUN)
-    return rounded(M.recall_points(table, K.RECALL_LADDER, RUN), 8, "precision", "achieved_recall", "max_recall")
+    return M.recall_points(table, K.RECALL_LADDER, RUN)
 
 
 @query("confusion", f"""WITH {O.RUNS},
 c AS (SELECT run, count(*) FILTER (score >= 0.7 AND label = 1) AS tp, count(*) FILTER (score >= 0.7 AND label = 0) AS fp,
         count(*) FILTER (score < 0.7 AND label = 1) AS fn, count(*) FILTER (score < 0.7 AND label = 0) AS tn FROM runs GROUP BY 1)
-SELECT run, tp, fp, fn, tn, tp + fp AS alerts, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 8) AS recall,
-  round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 8) AS precision, tp * 250000 - (tp + fp) * 400 - fp * 5000 AS net_value FROM c""")
+SELECT run, tp, fp, fn, tn, tp + fp AS alerts, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, tp * 250000 - (tp + fp) * 400 - fp * 5000 AS net_value FROM c""")
 def confusion(spark, sf):
-    return rounded(M.confusion(B.score_runs(spark, sf), 0.7, RUN), 8, "recall", "precision")
+    return M.confusion(B.score_runs(spark, sf), 0.7, RUN)
 
 
 @query("calibration", f"""WITH {O.RUNS},
 e AS (SELECT run, quantile_cont(score, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e FROM runs GROUP BY 1)
 SELECT run, len(list_filter(e, lambda x: x < score))::INT AS bin, count(*) AS n, round(avg(score), 8) AS mean_score,
-  round(avg(label::DOUBLE), 8) AS positive_rate FROM runs JOIN e USING (run) GROUP BY 1, 2""")
+  avg(label::DOUBLE) AS positive_rate FROM runs JOIN e USING (run) GROUP BY 1, 2""")
 def calibration(spark, sf):
-    return rounded(M.calibration_table(B.score_runs(spark, sf), 8, RUN), 8, "mean_score", "positive_rate")
+    return rounded(M.calibration_table(B.score_runs(spark, sf), 8, RUN), 8, "mean_score")
 
 
 _BANDED = """,
@@ -151,12 +150,12 @@ def band_table(spark, sf):
 @query("score_percentiles", f"""WITH {O.RUNS} {_BANDED}
 SELECT run, round(quantile_cont(risk_score::DOUBLE, 0.1), 6) AS p10, round(quantile_cont(risk_score::DOUBLE, 0.25), 6) AS p25,
   round(quantile_cont(risk_score::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(risk_score::DOUBLE, 0.75), 6) AS p75,
-  round(quantile_cont(risk_score::DOUBLE, 0.9), 6) AS p90, round(avg((risk_score >= 70)::INT::DOUBLE), 8) AS share_high
+  round(quantile_cont(risk_score::DOUBLE, 0.9), 6) AS p90, avg((risk_score >= 70)::INT::DOUBLE) AS share_high
 FROM bands WHERE label = 1 GROUP BY 1""")
 def score_percentiles(spark, sf):
     q = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
     out = M.positive_score_percentiles(M.with_score_and_band(B.score_runs(spark, sf)), q, RUN)
-    return rounded(rounded(out, 6, *q), 8, "share_high")
+    return rounded(out, 6, *q)
 
 
 @query("watchlist", f"""WITH {O.RARE} SELECT account_id, score, label FROM rare ORDER BY score DESC, account_id LIMIT 50""")
@@ -165,9 +164,9 @@ def watchlist(spark, sf):
 
 
 @query("precision_at_k", f"""WITH {O.RARE}, t AS (SELECT * FROM rare ORDER BY score DESC, account_id LIMIT 50)
-SELECT count(*) AS k, sum(label)::BIGINT AS hits, round(avg(label::DOUBLE), 8) AS precision FROM t""")
+SELECT count(*) AS k, sum(label)::BIGINT AS hits, avg(label::DOUBLE) AS precision FROM t""")
 def precision_at_k(spark, sf):
-    return rounded(M.precision_at_k(B.rare_run(spark, sf), 50, "score", "account_id"), 8, "precision")
+    return M.precision_at_k(B.rare_run(spark, sf), 50, "score", "account_id")
 
 
 @query("alert_list", f"WITH {O.RARE} SELECT account_id, score, label FROM rare WHERE score >= 0.9")
@@ -176,24 +175,24 @@ def alert_list(spark, sf):
 
 
 @query("percentile_ranks", f"""WITH {O.RUNS}, h AS (SELECT run, score, count(*) AS n FROM runs GROUP BY 1, 2)
-SELECT run, score, n, round((sum(n) OVER (PARTITION BY run ORDER BY score) - n + (n + 1) / 2.0::DOUBLE)
-  / sum(n) OVER (PARTITION BY run), 8) AS rank_share FROM h""")
+SELECT run, score, n, (sum(n) OVER (PARTITION BY run ORDER BY score) - n + (n + 1) / 2.0::DOUBLE)
+  / sum(n) OVER (PARTITION BY run) AS rank_share FROM h""")
 def percentile_ranks(spark, sf):
-    return rounded(mid_ranks(B.score_runs(spark, sf), "score", RUN), 8, "rank_share")
+    return mid_ranks(B.score_runs(spark, sf), "score", RUN)
 
 
 @query("cost_curve", f"""WITH {O.threshold_sql(K.COST_GRID)} {_TABLE}, n_pos, n_rows,
   caught * 250000 - alerts * 400 - false_alarms * 5000 AS net_savings FROM tbl""")
 def cost_curve(spark, sf):
-    return rounded(policy.cost_curve(B.score_runs(spark, sf), RUN), 8, "precision", "recall")
+    return policy.cost_curve(B.score_runs(spark, sf), RUN)
 
 
 @query("cost_best", f"""WITH {O.threshold_sql(K.COST_GRID)},
 c AS (SELECT *, caught * 250000 - alerts * 400 - false_alarms * 5000 AS net_savings FROM tbl),
 r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY net_savings DESC, threshold) AS k FROM c)
-SELECT run, threshold, alerts, caught, round(recall, 8) AS recall, net_savings, n_pos - caught AS missed FROM r WHERE k = 1""")
+SELECT run, threshold, alerts, caught, recall, net_savings, n_pos - caught AS missed FROM r WHERE k = 1""")
 def cost_best(spark, sf):
-    return rounded(policy.best_operating_point(policy.cost_curve(B.score_runs(spark, sf), RUN), RUN), 8, "recall")
+    return policy.best_operating_point(policy.cost_curve(B.score_runs(spark, sf), RUN), RUN)
 
 
 _ABSTAIN = f"""{O.RUNS},
@@ -218,17 +217,14 @@ x AS (SELECT r.*, t_lo, t_hi, score >= t_hi AS s, score <= t_lo AS c FROM runs r
 a AS (SELECT run, t_lo, t_hi, count(*) AS n, count(*) FILTER (s OR c) AS n_auto, count(*) FILTER (NOT s AND NOT c) AS n_uncertain,
   count(*) FILTER ((s AND label = 0) OR (c AND label = 1)) AS auto_zone_errors,
   count(*) FILTER (NOT s AND NOT c AND label = 1) AS mules_routed_to_review,
-  round(coalesce(avg(label::DOUBLE) FILTER (s), 0), 8) AS confident_mule_precision,
-  round(coalesce(avg(1.0::DOUBLE - label) FILTER (c), 0), 8) AS confident_legit_npv FROM x GROUP BY 1, 2, 3)
-SELECT *, round(n_auto::DOUBLE / n, 8) AS coverage_auto_decided, round(n_uncertain::DOUBLE / n, 8) AS review_rate,
-  round(auto_zone_errors::DOUBLE / greatest(n_auto, 1), 8) AS auto_zone_error_rate FROM a""")
+  coalesce(avg(label::DOUBLE) FILTER (s), 0) AS confident_mule_precision,
+  coalesce(avg(1.0::DOUBLE - label) FILTER (c), 0) AS confident_legit_npv FROM x GROUP BY 1, 2, 3)
+SELECT *, n_auto::DOUBLE / n AS coverage_auto_decided, n_uncertain::DOUBLE / n AS review_rate,
+  auto_zone_errors::DOUBLE / greatest(n_auto, 1) AS auto_zone_error_rate FROM a""")
 def abstention(spark, sf):
     scores = B.score_runs(spark, sf)
     cuts = policy.abstention_thresholds(scores, RUN, precision=0.4, npv=0.7)
-    return rounded(
-        policy.abstention_report(scores, cuts, RUN), 8, "confident_mule_precision", "confident_legit_npv",
-        "coverage_auto_decided", "review_rate", "auto_zone_error_rate",
-    )
+    return policy.abstention_report(scores, cuts, RUN)
 
 
 @query("graduated_policy", f"""WITH {O.RUNS},
@@ -256,9 +252,9 @@ def capacity(spark, sf):
 
 @query("queue_reduction", f"""WITH {O.RUNS},
 c AS (SELECT run, count(*) AS n_accounts, count(*) FILTER (score <= 0.1) AS auto_cleared, count(*) FILTER (score > 0.1) AS priority FROM runs GROUP BY 1)
-SELECT *, round(1 - priority::DOUBLE / greatest(n_accounts, 1), 8) AS workload_cut FROM c""")
+SELECT *, 1 - priority::DOUBLE / greatest(n_accounts, 1) AS workload_cut FROM c""")
 def queue_reduction(spark, sf):
-    return rounded(policy.queue_reduction(B.score_runs(spark, sf), RUN, 0.1), 8, "workload_cut")
+    return policy.queue_reduction(B.score_runs(spark, sf), RUN, 0.1)
 
 
 _FOLDS = """,

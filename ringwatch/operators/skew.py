@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 HOT_MIN_ROWS = 1_000_000
 SALTS = 64
+BROADCAST_MAX_ROWS = 100_000
 
 
 def attach(
@@ -17,18 +18,24 @@ def attach(
     how: str = "left",
     hot_min_rows: int = HOT_MIN_ROWS,
     salts: int = SALTS,
+    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
-    """Join `facts` (one row per key) to `rows`, with hot keys spread over salts.
+    """Join `facts` (one row per key, few narrow columns) to `rows`, whatever the key skew.
 
-    `weight` is the number of rows each key has in `rows`. One small aggregate over the facts
-    tells whether any key is hot; when none is, this is a plain join. A key is hot at a
-    thousandth of all rows, so there are at most a thousand hot keys and their list is safe to
-    broadcast. Rows of a hot key are spread by the hash of the `spread` columns; the facts of
-    the few hot keys are copied once per salt. No row is dropped.
+    One small aggregate over the facts picks the way. Counted few facts are broadcast and the
+    rows are not shuffled at all. Without a hot key this is a plain shuffle join. Otherwise hot
+    keys are spread over salts: `weight` is the number of rows each key has in `rows`, a key is
+    hot at a thousandth of all rows, so there are at most a thousand hot keys and their list is
+    safe to broadcast. Rows of a hot key are spread by the hash of the `spread` columns; the
+    facts of the few hot keys are copied once per salt. No row is dropped.
 
     The facts are read more than once: give a table or a checkpointed frame.
     """
-    seen = facts.agg(F.sum(weight).alias("total"), F.max(weight).alias("largest")).first()
+    seen = facts.agg(
+        F.sum(weight).alias("total"), F.max(weight).alias("largest"), F.count(F.lit(1)).alias("n")
+    ).first()
+    if seen["n"] <= broadcast_max_rows:
+        return rows.join(F.broadcast(facts.drop(weight)), key, how)
     limit = max((seen["total"] or 0) / HOT_SHARE, hot_min_rows)
     if (seen["largest"] or 0) < limit:
         return rows.join(facts.drop(weight), key, how)

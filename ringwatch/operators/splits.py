@@ -63,7 +63,10 @@ def bootstrap_precision(
     are left out. Rows times replicates are made, so this form is for evaluation sets; see
     `bootstrap_precision_binned` for large ones.
     """
-    copies = scores.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    # spread the rows before each becomes one per replicate
+    slots = scores.sparkSession.sparkContext.defaultParallelism
+    wide = scores.select(*identity, score, label).repartition(slots, *identity)
+    copies = wide.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     weight = poisson_one(uniform(seed, "replicate", *identity))
     drawn = copies.withColumn("_w", weight.cast("bigint"))
     hist = (
@@ -82,7 +85,8 @@ def bootstrap_precision_binned(
     import numpy as np
 
     bins = scores.groupBy(F.col(score).alias("score"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    copies = bins.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
+    slots = scores.sparkSession.sparkContext.defaultParallelism
+    copies = bins.repartition(slots, "score", "label").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
         "_key", F.xxhash64(F.lit(seed), "replicate", "score", "label")
     )
 

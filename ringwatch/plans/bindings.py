@@ -8,6 +8,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a one-file sample to all cores before heavy row work.
+
+    The sample files hold one row group each and would be read by one task; a real table comes
+    in many splits and does not need this.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as transactions from customers to the first supplier of the order."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s"))
@@ -135,7 +144,7 @@ def audit_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(
         (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45) & (F.col("l_discount") >= 0.08), 1
     ).otherwise(0)
-    rows = table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem")).select(
         line_id().alias("account_id"), label.alias("label"), *AUDIT_FEATURES
     )
     return injected_label(rows, "label", ["account_id"], name="planted")

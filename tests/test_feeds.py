@@ -63,11 +63,11 @@ def test_roles_first_alias_wins_and_names_are_trimmed(spark):
     assert out.first()["amount"] == 1.0
 
 
-@pytest.mark.parametrize("hot_min_rows", [1, 10, 10**9])
-def test_salted_attach_equals_plain_join(spark, hot_min_rows):
+@pytest.mark.parametrize("hot_min_rows, broadcast_max_rows", [(1, 0), (10, 0), (10**9, 0), (1, 10**6)])
+def test_attach_equals_plain_join(spark, hot_min_rows, broadcast_max_rows):
     rows = spark.range(2000).select(F.when(F.col("id") < 1500, "hot").otherwise(F.concat(F.lit("k"), F.pmod("id", F.lit(97)))).alias("k"), "id")
     facts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("w"), F.max("id").alias("m")).where("k <> 'k5'")
-    got = attach(rows, facts, "k", "w", ["id"], hot_min_rows=hot_min_rows, salts=7)
+    got = attach(rows, facts, "k", "w", ["id"], hot_min_rows=hot_min_rows, salts=7, broadcast_max_rows=broadcast_max_rows)
     want = rows.join(facts.drop("w"), "k", "left")
     assert sorted(map(tuple, got.select("k", "id", "m").collect()), key=str) == sorted(
         map(tuple, want.select("k", "id", "m").collect()), key=str

@@ -38,7 +38,7 @@ def test_components_match_union_find(spark, seed):
 def test_components_with_salted_stars(spark, monkeypatch):
     pairs = [(0, i) for i in range(1, 120)] + [(1000 + i, 1001 + i) for i in range(20)]
     monkeypatch.setattr(C, "HOT_MIN_ROWS", 1)
-    monkeypatch.setattr(C, "attach", lambda *a, **k: __import__("ringwatch.operators.skew", fromlist=["attach"]).attach(*a, **k, hot_min_rows=5, salts=4))
+    monkeypatch.setattr(C, "attach", lambda *a, **k: __import__("ringwatch.operators.skew", fromlist=["attach"]).attach(*a, **k, hot_min_rows=5, salts=4, broadcast_max_rows=0))
     got = {r["id"]: r["component"] for r in C.connected_components(edges_of(spark, pairs)).collect()}
     assert got == brute(pairs)
 

@@ -93,7 +93,8 @@ def decile_purity(
     on = [*keys, "feature"]
     ranges = (
         running.select(*on, "value", "n", "pos")
-        .join(summary.select(*on, *DECILES), on)
+        # one row per column of the audited table (and fold): bounded by the schema
+        .join(F.broadcast(summary.select(*on, *DECILES)), on)
         .groupBy(*on, F.greatest(below, lowest).alias("range"))
         .agg(F.sum("n").alias("rows"), _rate().alias("rate"), F.count(F.lit(1)).alias("distinct"))
     )

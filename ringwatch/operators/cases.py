@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringwatch import constants as K
+from ringwatch.functions.numbers import value_bin
 
 
 def latest_actions(log: DataFrame) -> DataFrame:
@@ -16,12 +17,19 @@ def state_changes(log: DataFrame) -> DataFrame:
     """Rows whose status or owner differs from the account's last logged pair.
 
     A row that is still new and has no owner is never logged and leaves the last pair as it is.
+    A busy account is cut into stretches of `seq`: rows look back inside their stretch, and the
+    first row of a stretch takes the last pair of the stretch before it.
     """
-    real = log.where((F.col("status") != "NEW") | (F.coalesce("owner", F.lit("")) != ""))
-    before = F.lag(F.struct("status", "owner")).over(Window.partitionBy("account").orderBy("seq"))
-    return real.withColumn("_before", before).where(
-        F.col("_before").isNull() | ~F.struct("status", "owner").eqNullSafe(F.col("_before"))
-    ).drop("_before")
+    pair = F.struct("status", "owner")
+    real = log.where((F.col("status") != "NEW") | (F.coalesce("owner", F.lit("")) != "")).withColumn(
+        "_bin", value_bin(F.col("seq"))
+    )
+    last = real.groupBy("account", "_bin").agg(F.max_by(pair, "seq").alias("_last"))
+    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy("account").orderBy("_bin"))).drop("_last")
+    inside = F.lag(pair).over(Window.partitionBy("account", "_bin").orderBy("seq"))
+    seen = real.withColumn("_inside", inside).join(carried, ["account", "_bin"])
+    before = F.coalesce("_inside", "_carry")
+    return seen.where(before.isNull() | ~pair.eqNullSafe(before)).select(*log.columns)
 
 
 def change_text(status: Column, owner: Column) -> Column:

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import constants as K
-from ringwatch.operators.skew import HOT_MIN_ROWS, attach
+from ringwatch.operators.running import prefix_sums
+from ringwatch.operators.skew import HOT_MIN_ROWS, attach, join_counted
 from ringwatch.session import cut_lineage
 
 MAX_ROUNDS = 100
@@ -104,22 +105,15 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def with_ring_numbers(sized: DataFrame, min_size: int = K.MIN_RING) -> DataFrame:
     """Number the rings by size, largest first, ties by smallest member.
 
-    Sizes are whole numbers, so the rank of a ring is the number of rings of larger size plus
-    its place among rings of its own size; `prefix_sums` gives the first part.
+    The number of a ring is the number of larger rings plus its place among rings of its size.
+    Many rings share the small sizes, so both parts are running totals over bins.
     """
-    from pyspark.sql import Window
-
-    from ringwatch.operators.running import prefix_sums
-
-    rings = sized.where(F.col("size") >= min_size)
-    per_size = rings.groupBy(F.col("size").cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = prefix_sums(per_size, [], "s", ["n"], ascending=False).select("s", F.col("n_before").alias("_off"))
-    place = F.row_number().over(Window.partitionBy("size").orderBy("component"))
-    return (
-        rings.withColumn("_place", place)
-        .join(offsets, F.col("size").cast("double") == F.col("s"))
-        .withColumn("ring_id", (F.col("_off") + F.col("_place")).cast("int"))
-        .drop("_place", "_off", "s")
+    rings = cut_lineage(sized.where(F.col("size") >= min_size))
+    per_size = rings.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    offsets = prefix_sums(per_size, [], "size", ["n"], ascending=False).select("size", "n_before")
+    placed = prefix_sums(rings.withColumn("_one", F.lit(1)), ["size"], "component", ["_one"])
+    return join_counted(placed, offsets, ["size"]).select(
+        "component", "size", (F.col("n_before") + F.col("_one_before") + 1).cast("int").alias("ring_id")
     )
 
 

@@ -122,7 +122,8 @@ def top_drivers(contributions: DataFrame, identity: str, k: int = 6, stats: Data
     order = Window.partitionBy(identity).orderBy(F.desc(F.abs("contribution")), "feature")
     top = contributions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if stats is not None:
-        top = top.join(stats, "feature", "left").withColumn("context", percentile_note(F.col("value")))
+        # one row per feature: bounded by the schema
+        top = top.join(F.broadcast(stats), "feature", "left").withColumn("context", percentile_note(F.col("value")))
     else:
         top = top.withColumn("context", F.lit(""))
     return top.select(

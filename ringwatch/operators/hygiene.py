@@ -2,13 +2,14 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringwatch import constants as K
 from ringwatch.functions.numbers import safe_ratio, try_number
 from ringwatch.operators.longform import feature_histogram, to_long, to_long_text
+from ringwatch.operators.running import prefix_sums, quantile_columns, text_row_numbers
 
 VECTOR_CHUNK = 250
 
@@ -111,13 +112,10 @@ def missing_flags(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def category_codes(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, category, code): categories of each text column numbered in text order.
-
-    Only distinct categories are ranked, so the window is as small as the dictionary.
-    """
+    """(feature, category, code): categories of each text column numbered in text order."""
     seen = to_long_text(df, features, []).where("value is not null").distinct()
-    rank = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
-    return seen.select("feature", F.col("value").alias("category"), rank.alias("code"))
+    numbered = text_row_numbers(seen, ["feature"], "value", "code")
+    return numbered.select("feature", F.col("value").alias("category"), "code")
 
 
 def encode(df: DataFrame, codes: DataFrame, features: list[str]) -> DataFrame:
@@ -277,8 +275,6 @@ def check_matrix(
 
 def class_stats(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Per feature: median, 5th and 95th percentile, class means, standard deviation."""
-    from ringwatch.operators.running import prefix_sums, quantile_columns
-
     hist = feature_histogram(df, features, label).where("value is not null")
     running = prefix_sums(hist, ["feature"], "value", ["n"])
     neg = F.col("n") - F.col("pos")
@@ -295,7 +291,8 @@ def class_stats(df: DataFrame, features: list[str], label: str) -> DataFrame:
         n.alias("n_filled"),
     )
     spread = (
-        hist.join(stats.select("feature", "mean"), "feature")
+        # one row per column: bounded by the schema
+        hist.join(F.broadcast(stats.select("feature", "mean")), "feature")
         .groupBy("feature")
         .agg(
             F.sqrt(

@@ -11,6 +11,7 @@ from ringwatch import constants as K
 from ringwatch.functions.numbers import grid_index, risk_score
 from ringwatch.functions.policy import band
 from ringwatch.operators.running import exact_quantiles, prefix_sums
+from ringwatch.operators.skew import join_counted
 
 
 def score_histogram(scores: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -188,7 +189,7 @@ def calibration_table(
     # right-closed bins: a score equal to an edge belongs to the bin below it
     index = sum((F.when(F.col(score) > F.col(c), 1).otherwise(0) for c in cuts), F.lit(0))
     placed = (
-        scores.join(edges, keys)
+        join_counted(scores, edges, keys)
         if keys
         else scores.withColumns({c: edges.select(c).scalar() for c in cuts})
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ringwatch import constants as K
 from ringwatch.operators.metrics import threshold_table
 from ringwatch.operators.running import prefix_sums
+from ringwatch.operators.skew import join_counted
 
 
 def cost_curve(
@@ -74,7 +75,7 @@ def abstention_thresholds(
 def _with_thresholds(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Thresholds are one row per run: a scalar without runs, a small join side with them."""
     if keys:
-        return scores.join(thresholds, keys)
+        return join_counted(scores, thresholds, keys)
     return scores.withColumns({c: thresholds.select(c).scalar() for c in ("t_lo", "t_hi")})
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ringwatch.functions.hashing import digest
 from ringwatch.functions.numbers import value_bin
+from ringwatch.operators.skew import join_counted
 
 _ALL = "_all"
 
@@ -103,6 +104,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
 
     The first pass counts order-keeping bins. The second keeps only the bins that hold a
     wanted rank and counts their distinct values, so the full column is never shuffled.
+    The wanted bins (at most two per quantile and key) are written and counted at once.
     """
     keys = keys or []
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
@@ -117,7 +119,7 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
             wanted = wanted | ((F.col("_off_c") <= rank) & (rank < F.col("_end")))
     bins = bins.withColumn("_end", F.coalesce(ends, F.col("c_total"))).where(wanted)
     hist = (
-        rows.join(bins, [*keyed, "_bin"])
+        join_counted(rows, bins, [*keyed, "_bin"])
         .groupBy(*keyed, "_bin", "_v", "_off_c", "c_total")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -144,6 +146,19 @@ def row_numbers(
     )
 
 
+def text_row_numbers(df: DataFrame, keys: list[str], text: str, name: str = "rn", letters: int = 4) -> DataFrame:
+    """Number distinct texts of each key from 0 in text order; bins are the first letters."""
+    plain = list(df.columns)
+    rows, keyed = _with_keys(df.withColumn("_bin", F.substring(text, 1, letters)), keys)
+    offsets = _offsets(rows.withColumn("_one", F.lit(1)), keyed, {"c": F.sum("_one")})
+    inside = Window.partitionBy(*keyed, "_bin").orderBy(text)
+    return (
+        rows.withColumn("_in", F.row_number().over(inside) - 1)
+        .join(offsets, [*keyed, "_bin"])
+        .select(*plain, (F.col("_in") + F.col("_off_c")).alias(name))
+    )
+
+
 def mid_ranks(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "rank_share") -> DataFrame:
     """Share-of-rows rank with ties on their mean rank, per distinct value."""
     keys = keys or []

@@ -3,12 +3,24 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringwatch.session import cut_lineage
+
 HOT_SHARE = 1000
 HOT_MIN_ROWS = 1_000_000
 SALTS = 64
 BROADCAST_MAX_ROWS = 100_000
 
 
+def join_counted(rows: DataFrame, small: DataFrame, on: list[str], max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Inner join to a table that should be small (a row per run, feature or bin).
+
+    The table is written and counted first. Counted few rows are broadcast, so the large side
+    is not shuffled by a key with few values; more rows take a shuffle join.
+    """
+    small = cut_lineage(small)
+    return rows.join(F.broadcast(small) if small.count() <= max_rows else small, on)
+
+
 def attach(
     rows: DataFrame,
     facts: DataFrame,

@@ -318,7 +318,7 @@ def challenger(spark, sf):
     return rounded(out, 8, "best_mean", "baseline_mean", "baseline_std")
 
 
-@query("leaderboard", f"""WITH {_REPEAT_AP} SELECT run, 5 AS n_folds, round(mean, 8) AS mean, round(std, 8) AS std,
+@query("leaderboard", f"""WITH {_REPEAT_AP} SELECT run, 5::BIGINT AS n_folds, round(mean, 8) AS mean, round(std, 8) AS std,
   round(mean - 1.96::DOUBLE * std / sqrt(5), 8) AS ci_lo, round(mean + 1.96::DOUBLE * std / sqrt(5), 8) AS ci_hi FROM st ORDER BY mean DESC""")
 def leaderboard(spark, sf):
     rows = M.fold_interval(_run_folds(spark, sf), ["run"], "average_precision", K.NORMAL_CRITICAL)

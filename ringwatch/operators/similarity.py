@@ -203,7 +203,10 @@ def similarity_to_positives(
     values per block, so no row meets all positives at once.
     """
     units = unit_vectors(vectors)
-    side = units.select("id", "vector", (F.col(fold) if fold else F.lit(-1)).cast("int").alias("_f"), label)
+    # counted twice and read by both sides of the block join: written once
+    side = cut_lineage(
+        units.select("id", "vector", (F.col(fold) if fold else F.lit(-1)).cast("int").alias("_f"), label)
+    )
     positives = side.where(F.col(label) == 1).drop(label)
     rows = side.drop(label)
     n_rows, n_pos = _block_count(rows, block_rows), _block_count(positives, block_rows)

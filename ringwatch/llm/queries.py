@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import chat_snapshots, language_id, line_dedup, mixing, pii, url_reputation
+from ringwatch.llm import chat_snapshots, language_id, line_dedup, mixing, near_duplicates, pii, url_reputation, vector_duplicates
 from ringwatch.llm import oracles
 from ringwatch.llm.common import table
 
@@ -44,6 +44,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is bad if the label of its number says low quality or toxic."""
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
@@ -57,6 +62,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates.vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.format_chats(table(spark, sf_dir, "conversations"))

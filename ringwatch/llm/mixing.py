@@ -27,7 +27,7 @@ from ringwatch.llm.common import BROADCAST_ROWS, SPACE, with_missing
 from ringwatch.session import cut_lineage
 
 MOST = 3
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 EDGE = 1e-9
 OPEN_SCHEMA = "sid long, tie long, doc_id long, size long, base long, pi double"
 

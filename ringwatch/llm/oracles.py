@@ -87,5 +87,59 @@ select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
        when bound > 0.5 then 'block' else 'allow' end as verdict
 from ruled join bounds using (host)
+""",
+    "op5_near_duplicates": r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from docs),
+sized as (select doc_id, len(s)::bigint as n, s from sets),
+flat as (select doc_id, n, unnest(s) as g from sized),
+links as (
+  select a.doc_id as a, b.doc_id as b from flat a join flat b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (
+  select doc_id as id, doc_id as r from sized union select l.b, reach.r from reach join links l on l.a = reach.id)
+select s.doc_id, s.n as n_shingles, c.component_id, s.doc_id = c.component_id as kept
+from sized s join (select id, min(r) as component_id from reach group by id) c on c.id = s.doc_id
+""",
+    "op7_vector_duplicates": r"""
+with recursive vecs as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+good as (
+  select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from vecs
+  where label is not null and v is not null and list_dot_product(v, v) > 0 and list_bool_and(list_transform(v, lambda x: isfinite(x)))),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reach as (
+  select vec_id as id, vec_id as r from embeddings union select l.b, reach.r from reach join links l on l.a = reach.id)
+select e.vec_id, coalesce(n.n_links, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join (select id, min(r) as component_id from reach group by id) c on c.id = e.vec_id
+left join (select a, count(*) as n_links from links group by a) n on n.a = e.vec_id
+""",
+    "op1_decontamination": r"""
+with words as (
+  select 'd' as what, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') from benchmark),
+parts as (
+  select id, 'q' as part, case when len(w) // 2 >= 5 then w[1:len(w) // 2] else w end as w from words where what = 'b' and len(w) > 0
+  union all
+  select id, 'a', case when len(w) // 2 >= 5 then w[len(w) // 2 + 1:] else w end from words where what = 'b' and len(w) > 0),
+wanted as (
+  select id, part, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from parts),
+sizes as (select id, part, count(*) as n from wanted group by id, part),
+have as (
+  select id as doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from words where what = 'd' and len(w) > 0),
+shares as (
+  select h.doc_id, s.id, s.part, count(*)::double / any_value(s.n) as share
+  from have h join wanted w on h.g = w.g join sizes s on s.id = w.id and s.part = w.part group by h.doc_id, s.id, s.part),
+hits as (select doc_id, id from shares where share >= 0.8 group by doc_id, id having count(*) = 2),
+found as (select doc_id, count(*) as n, string_agg(id::varchar, ',' order by id) as items from hits group by doc_id)
+select d.doc_id, f.n is not null as contaminated, coalesce(f.n, 0)::bigint as n_items, coalesce(f.items, '') as items
+from documents d left join found f using (doc_id)
 """,
 }

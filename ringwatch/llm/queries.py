@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import chat_snapshots, language_id, line_dedup, mixing, near_duplicates, pii, url_reputation, vector_duplicates
+from ringwatch.llm import chat_snapshots, decontamination, language_id, line_dedup, mixing, n_gram_quality, near_duplicates, pii, url_reputation, vector_duplicates
 from ringwatch.llm import oracles
-from ringwatch.llm.common import table
+from ringwatch.llm.common import counted, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = oracles.SQL
@@ -18,6 +18,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the benchmark items it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    per_doc = counted(hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
+        "doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), F.array_join(items, ",").alias("items")
+    )
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -67,6 +79,12 @@ def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates.vector_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op8_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return n_gram_quality.score_quality(docs, labels).drop("_k1", "_k2")
+
+
 @query
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.format_chats(table(spark, sf_dir, "conversations"))

@@ -156,8 +156,8 @@ def tile_links(routed: DataFrame, least: float, wide: bool, tile: int) -> DataFr
     def compare(key, base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(query):
             return pd.DataFrame({"rid": [], "to": [], "n": []}).astype("int64")
-        b, q = base["rid"].to_numpy(), query["rid"].to_numpy()
-        linked = unit_rows(list(query["vec"]), wide) @ unit_rows(list(base["vec"]), wide).T >= least
+        b, q = base["rid"].to_numpy(), query["q_rid"].to_numpy()
+        linked = unit_rows(list(query["q_vec"]), wide) @ unit_rows(list(base["vec"]), wide).T >= least
         linked &= q[:, None] != b[None, :]
         n = linked @ base["m"].to_numpy()
         to_q, to_b = forest(linked, q, b)
@@ -173,9 +173,12 @@ def tile_links(routed: DataFrame, least: float, wide: bool, tile: int) -> DataFr
     mine = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     base = rows.where("base").select("label", "cell", "rid", "m", "vec", mine("nb").alias("tb"), every("nq").alias("tq"))
-    query = rows.where("not base").select("label", "cell", "rid", "vec", mine("nq").alias("tq"), every("nb").alias("tb"))
-    key = ["label", "cell", "tb", "tq"]
-    return base.groupBy(*key).cogroup(query.groupBy(*key)).applyInPandas(compare, "rid long, to long, n long")
+    # other names, as both sides come from one table
+    query = rows.where("not base").select(
+        F.col("label").alias("q_label"), F.col("cell").alias("q_cell"), F.col("rid").alias("q_rid"), F.col("vec").alias("q_vec"),
+        mine("nq").alias("q_tq"), every("nb").alias("q_tb"),
+    )
+    return base.groupBy("label", "cell", "tb", "tq").cogroup(query.groupBy("q_label", "q_cell", "q_tb", "q_tq")).applyInPandas(compare, "rid long, to long, n long")
 
 
 def vector_duplicates(

@@ -174,7 +174,7 @@ def mix_sources(docs: DataFrame, most: int = MOST, block_rows: int = BLOCK_ROWS)
     sources = cut_lineage(source_targets(sizes, most))
     few = sources.count() <= BROADCAST_ROWS
     facts = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     base = F.coalesce(F.floor(ratio + EDGE), F.lit(0)).cast("long")
     rows = (
         sizes.withColumn("_s", F.coalesce("source", F.lit("")))

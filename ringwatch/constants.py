@@ -158,3 +158,7 @@ NORMAL_CRITICAL = 1.96
 BOOTSTRAP_REPLICATES = 2000
 EXPLICIT_ACTIONS = ["ESCALATED", "CLEARED", "MONITORED"]
 CASE_STATUSES = ["NEW", "INVESTIGATING", "ESCALATED", "CLEARED"]
+
+# Levels of the robustness tests.
+NOISE_LEVELS = [0.0, 0.1, 0.25, 0.5, 1.0]
+DROP_LEVELS = [0.0, 0.1, 0.25, 0.5]

@@ -7,10 +7,15 @@ from ringwatch import constants as K
 from ringwatch.functions.numbers import value_bin
 
 
+def log_order(log: DataFrame) -> Column:
+    """What orders the rows of a log: seq, and in a stored log the writer and its row."""
+    return F.struct("seq", *[c for c in ("session", "row") if c in log.columns])
+
+
 def latest_actions(log: DataFrame) -> DataFrame:
     """(account, action): the last explicit action of each account."""
     explicit = log.where(F.col("action").isin(K.EXPLICIT_ACTIONS))
-    return explicit.groupBy("account").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
+    return explicit.groupBy("account").agg(F.max_by("action", log_order(log)).alias("action"), F.max("seq").alias("seq"))
 
 
 def state_changes(log: DataFrame) -> DataFrame:
@@ -24,9 +29,9 @@ def state_changes(log: DataFrame) -> DataFrame:
     real = log.where((F.col("status") != "NEW") | (F.coalesce("owner", F.lit("")) != "")).withColumn(
         "_bin", value_bin(F.col("seq"))
     )
-    last = real.groupBy("account", "_bin").agg(F.max_by(pair, "seq").alias("_last"))
+    last = real.groupBy("account", "_bin").agg(F.max_by(pair, log_order(log)).alias("_last"))
     carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy("account").orderBy("_bin"))).drop("_last")
-    inside = F.lag(pair).over(Window.partitionBy("account", "_bin").orderBy("seq"))
+    inside = F.lag(pair).over(Window.partitionBy("account", "_bin").orderBy(log_order(log)))
     seen = real.withColumn("_inside", inside).join(carried, ["account", "_bin"])
     before = F.coalesce("_inside", "_carry")
     return seen.where(before.isNull() | ~pair.eqNullSafe(before)).select(*log.columns)
@@ -54,7 +59,7 @@ def action_counts(log: DataFrame) -> DataFrame:
 
 def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("account").agg(
-        F.max_by("status", "seq").alias("status"), F.max_by("owner", "seq").alias("owner")
+        F.max_by("status", log_order(log)).alias("status"), F.max_by("owner", log_order(log)).alias("owner")
     )
 
 
@@ -98,7 +103,7 @@ def ring_containment(members: DataFrame, log: DataFrame, loss: int = K.MULE_LOSS
 
 
 def escalation_rows(members: DataFrame, log: DataFrame, ring_id: int) -> DataFrame:
-    """New log rows for the members of a ring that are not escalated yet."""
+    """New log rows for the members of a ring that are not escalated yet; they can be appended as they are."""
     done = latest_actions(log).where("action = 'ESCALATED'").select(F.col("account").alias("id"))
     return (
         members.where(F.col("ring_id") == ring_id)

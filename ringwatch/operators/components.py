@@ -2,14 +2,13 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ringwatch import constants as K
-from ringwatch.operators.running import prefix_sums
+from ringwatch.operators.running import prefix_sums, text_row_numbers
 from ringwatch.operators.skew import HOT_MIN_ROWS, attach, join_counted
 from ringwatch.session import cut_lineage
 
-MAX_ROUNDS = 100
-
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Each pair once, smaller id first, without loops."""
@@ -85,14 +84,12 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     nodes = nodes_of(given) if nodes is None else nodes.select("id").distinct()
     current = undirected(given)
     before = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         current = _round(current, before[0])
         after = _fingerprint(current)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     # the stars are settled: every non-root has one edge, to its root
     roots = current.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return nodes.join(roots, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -111,7 +108,10 @@ def with_ring_numbers(sized: DataFrame, min_size: int = K.MIN_RING) -> DataFrame
     rings = cut_lineage(sized.where(F.col("size") >= min_size))
     per_size = rings.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     offsets = prefix_sums(per_size, [], "size", ["n"], ascending=False).select("size", "n_before")
-    placed = prefix_sums(rings.withColumn("_one", F.lit(1)), ["size"], "component", ["_one"])
+    if isinstance(rings.schema["component"].dataType, StringType):
+        placed = text_row_numbers(rings, ["size"], "component", "_one_before")
+    else:
+        placed = prefix_sums(rings.withColumn("_one", F.lit(1)), ["size"], "component", ["_one"])
     return join_counted(placed, offsets, ["size"]).select(
         "component", "size", (F.col("n_before") + F.col("_one_before") + 1).cast("int").alias("ring_id")
     )
@@ -129,7 +129,7 @@ def ring_table(members: DataFrame, risk: DataFrame, loss: int = K.MULE_LOSS) ->
     `risk` holds id and risk_score. Members stay in the member table; a ring can be large.
     """
     scored = members.join(risk.groupBy("id").agg(F.max("risk_score").alias("risk_score")), "id", "left")
-    lead = F.max_by(F.struct("id", "risk_score"), F.struct(F.coalesce("risk_score", F.lit(-1)), -F.col("id")))
+    lead = F.min_by(F.struct("id", "risk_score"), F.struct(-F.coalesce("risk_score", F.lit(-1)), F.col("id")))
     return (
         scored.groupBy("ring_id")
         .agg(F.count(F.lit(1)).alias("size"), lead.alias("lead"))
@@ -241,7 +241,7 @@ def typology_hub(edges: DataFrame) -> DataFrame:
     ends = edges.select("alert_type", F.explode(F.array("sender", "receiver")).alias("id"))
     degree = ends.groupBy("alert_type", "id").agg(F.count(F.lit(1)).alias("degree"))
     return degree.groupBy("alert_type").agg(
-        F.max_by("id", F.struct("degree", -F.col("id"))).alias("hub"), F.max("degree").alias("hub_degree")
+        F.min_by("id", F.struct(-F.col("degree"), F.col("id"))).alias("hub"), F.max("degree").alias("hub_degree")
     )
 
 

@@ -11,9 +11,10 @@ from ringwatch.sources import roles
 
 
 def account_number(col: Column) -> Column:
-    """Whole-number account id of a ticket; unreadable ids become null."""
+    """Whole-number account id of a ticket; unreadable ids and fractions become null."""
     value = F.expr("cast(null as double)") if col is None else col.try_cast("double")
-    return F.when(~F.isnan(value), value.try_cast("bigint"))
+    whole = value.try_cast("bigint")
+    return F.when(~F.isnan(value) & (whole.cast("double") == value), whole)
 
 
 def fuse_alerts(alerts: DataFrame, risk: DataFrame, streaming: bool = False) -> DataFrame:

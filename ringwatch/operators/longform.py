@@ -26,6 +26,10 @@ def feature_histogram(
     small number instead of a name per cell.
     """
     keys = keys or []
+    if not features:
+        return df.select(
+            *keys, F.lit("").alias("feature"), F.lit(None).cast("double").alias("value"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos")
+        ).limit(0)
     positive = F.col(label).cast("bigint") if label else F.lit(0).cast("bigint")
     parts = []
     for names in _chunks(features, chunk):
@@ -42,6 +46,8 @@ def feature_histogram(
 
 def to_long(df: DataFrame, features: list[str], keep: list[str], chunk: int = CHUNK) -> DataFrame:
     """(keep, feature, value) with one row per cell, missing cells included."""
+    if not features:
+        return df.select(*keep, F.lit("").alias("feature"), F.lit(None).cast("double").alias("value")).limit(0)
     parts = [
         df.select(*keep, F.posexplode(F.array(*[try_number(f"`{c}`") for c in names])).alias("_pos", "value")).select(
             *keep, _named(names).alias("feature"), "value"
@@ -56,6 +62,8 @@ def to_long(df: DataFrame, features: list[str], keep: list[str], chunk: int = CH
 
 def to_long_text(df: DataFrame, features: list[str], keep: list[str], chunk: int = CHUNK) -> DataFrame:
     """Like `to_long` for text columns."""
+    if not features:
+        return df.select(*keep, F.lit("").alias("feature"), F.lit(None).cast("string").alias("value")).limit(0)
     parts = [
         df.select(*keep, F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in names])).alias("_pos", "value"))
         .select(*keep, _named(names).alias("feature"), "value")

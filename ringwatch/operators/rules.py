@@ -102,11 +102,15 @@ def account_facts(feed: DataFrame) -> DataFrame:
     partial rows.
     """
     has = set(feed.columns)
+    # ids of one kind keep it; of different kinds ("M1" beside 17) both are compared as text
+    id_type = feed.schema["origin"].dataType
+    if "dest" in has and feed.schema["dest"].dataType != id_type:
+        id_type = "string"
     kind = _kind() if "txn_type" in has else F.lit(None).cast("string")
     rail = F.col("channel") if "channel" in has else F.lit(None).cast("string")
     sides = [
         F.struct(
-            F.col("origin").alias("account"),
+            F.col("origin").cast(id_type).alias("account"),
             rail.alias("rail"),
             F.lit(1).alias("as_origin"),
             F.lit(0).alias("as_dest"),
@@ -118,7 +122,7 @@ def account_facts(feed: DataFrame) -> DataFrame:
     if "dest" in has:
         sides.append(
             F.struct(
-                F.col("dest").cast(feed.schema["origin"].dataType).alias("account"),
+                F.col("dest").cast(id_type).alias("account"),
                 F.lit(None).cast(rail_type(feed)).alias("rail"),
                 F.lit(0).alias("as_origin"),
                 F.lit(1).alias("as_dest"),
@@ -160,7 +164,7 @@ def _with_account_facts(feed: DataFrame) -> DataFrame:
     facts = cut_lineage(account_facts(feed))
     spread = feed.columns
     as_origin = facts.where("as_origin > 0").select(
-        F.col("account").alias("origin"),
+        F.col("account").try_cast(feed.schema["origin"].dataType).alias("origin"),
         "as_origin",
         F.col("txn_count").alias("_txn_count"),
         F.col("rail_count").alias("_rail_count"),
@@ -170,8 +174,8 @@ def _with_account_facts(feed: DataFrame) -> DataFrame:
     if "dest" not in feed.columns:
         return out
     as_dest = facts.where("chain").select(
-        F.col("account").cast(feed.schema["dest"].dataType).alias("dest"), "as_dest", F.lit(True).alias("_in")
-    )
+        F.col("account").try_cast(feed.schema["dest"].dataType).alias("dest"), "as_dest", F.lit(True).alias("_in")
+    ).where("dest is not null")
     out = attach(out, as_dest, "dest", "as_dest", spread)
     return out.withColumn("_chain_dest", F.coalesce("_in", F.lit(False))).withColumn(
         "_chain_origin", F.coalesce("_chain_origin", F.lit(False))

@@ -8,6 +8,7 @@ from ringwatch.operators import models as L
 from ringwatch.operators.splits import stratified_folds
 from ringwatch.plans import bindings as B
 from ringwatch.plans.registry import query, rounded
+from ringwatch.session import cut_lineage
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
@@ -113,8 +114,9 @@ def alert_records(spark, sf):
 @query("watchlist_reasons")
 def watchlist_reasons(spark, sf):
     rows, model, scored = _logistic_scored(spark, sf)
-    drivers = explain.top_drivers(explain.linear_contributions(rows, FEATURES, model, "account_id"), "account_id")
-    top = M.watchlist(M.with_score_and_band(scored), 50)
+    top = cut_lineage(M.watchlist(M.with_score_and_band(scored), 50))
+    listed = rows.join(F.broadcast(top.select("account_id")), "account_id", "left_semi")  # 50 ids
+    drivers = explain.top_drivers(explain.linear_contributions(listed, FEATURES, model, "account_id"), "account_id")
     return explain.watchlist_reasons(top, drivers, "account_id").select(
         "account_id", "risk_score", "band", "label", "top_reasons"
     )
@@ -123,8 +125,9 @@ def watchlist_reasons(spark, sf):
 @query("investigation_reports")
 def investigation_reports(spark, sf):
     rows, model, scored = _logistic_scored(spark, sf)
-    drivers = explain.top_drivers(explain.linear_contributions(rows, FEATURES, model, "account_id"), "account_id")
     flagged = hygiene.row_counts(scored.where("score >= 0.9"), FEATURES)
+    listed = rows.join(flagged.select("account_id"), "account_id", "left_semi")
+    drivers = explain.top_drivers(explain.linear_contributions(listed, FEATURES, model, "account_id"), "account_id")
     return explain.reports(flagged, drivers, "account_id", len(FEATURES))
 
 
@@ -168,10 +171,12 @@ def bagged_unlabelled(spark, sf):
 
 @query("robustness")
 def robustness_levels(spark, sf):
-    folded = _folded(spark, sf, 2)
-    model = L.fit(folded.where("fold = 0"), FEATURES, L.logistic(), scale=True)
-    out = robustness.robustness(
-        model, folded.where("fold = 1"), FEATURES, ["l_quantity", "l_extendedprice"], "account_id",
-        noise=[0.0, 0.25], dropout=[0.25, 0.5],
-    )
-    return out.select("kind", "level", "average_precision", "roc_auc")
+    folded = cut_lineage(_folded(spark, sf, 2))
+    noisy = ["l_quantity", "l_extendedprice"]
+    spread = robustness.spreads(folded, noisy)
+    parts = []
+    for fold in (0, 1):
+        model = L.fit(folded.where(F.col("fold") != fold), FEATURES, L.logistic(), scale=True)
+        held_out = folded.where(F.col("fold") == fold)
+        parts.append(robustness.perturbed_scores(model, held_out, FEATURES, noisy, "account_id", spread=spread))
+    return robustness.pooled_robustness(parts).select("kind", "level", "average_precision", "roc_auc")

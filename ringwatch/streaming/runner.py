@@ -13,6 +13,7 @@ def open_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     The path may be one file or a folder. A plain path has to be a folder, so it is given as a
     pattern that matches only itself.
     """
+    path = path.rstrip("/")
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -22,7 +23,8 @@ def open_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 def drain(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run everything that is available into a Parquet table and return the table.
 
-    Progress is kept beside the output in the shared folder, so a failed run can go on.
+    To let a failed run go on, call again with the same `out` and `checkpoint`; without them every
+    call has new folders beside the checkpoints and starts from the beginning.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"

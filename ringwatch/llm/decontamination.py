@@ -19,6 +19,7 @@ shingle, question and answer at once. Documents without text hold nothing. Repea
 items of their own. Rows of documents are told apart by content (doc_id and text).
 """
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +39,7 @@ PASSAGE = 128
 BLOCK = 8
 K1, B = 1.2, 0.75
 INDEX_ITEMS = 2_000
+WINDOWS = 1_024
 INDEX_WORDS = 2_000_000
 
 
@@ -80,38 +82,47 @@ class Index:
         self.term_top = np.zeros(len(postings))
         np.maximum.at(self.term_top, term, self.post_weight)
 
-    def retrieve(self, terms: np.ndarray, least: float) -> list[int]:
-        """Items whose score against a passage (distinct terms) reaches `least`."""
-        runs = [slice(self.block_start[t], self.block_start[t + 1]) for t in terms]
-        bound = np.bincount(
-            np.concatenate([self.block_at[r] for r in runs]), weights=np.concatenate([self.block_top[r] for r in runs]), minlength=self.n_blocks
-        )
-        open_blocks = bound >= least
-        if not open_blocks.any():
-            return []
-        runs = [slice(self.post_start[t], self.post_start[t + 1]) for t in terms]
-        item, weight = np.concatenate([self.post_item[r] for r in runs]), np.concatenate([self.post_weight[r] for r in runs])
-        mine = open_blocks[item // BLOCK]
-        return np.flatnonzero(np.bincount(item[mine], weights=weight[mine], minlength=len(self.ids)) >= least).tolist()
+    def _runs(self, start: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each term's run of entries: the number of the term in `terms`, and the places of the entries."""
+        size = start[terms + 1] - start[terms]
+        which = np.repeat(np.arange(len(terms)), size)
+        return which, np.arange(len(which)) + np.repeat(start[terms] - np.cumsum(size) + size, size)
+
+    def retrieve(self, window: np.ndarray, term: np.ndarray, n: int, least: float) -> set[int]:
+        """Items whose score against one of `n` passages, given as distinct (window, term), reaches `least`."""
+        # a passage whose terms' largest weights do not reach the threshold needs no further look
+        wide = np.bincount(window, weights=self.term_top[term], minlength=n) >= least
+        window, term = window[wide[window]], term[wide[window]]
+        which, at = self._runs(self.block_start, term)
+        cell = window[which] * self.n_blocks + self.block_at[at]
+        wide = np.bincount(cell, weights=self.block_top[at], minlength=n * self.n_blocks) >= least
+        some = wide.reshape(n, self.n_blocks).any(axis=1)
+        window, term = window[some[window]], term[some[window]]
+        which, at = self._runs(self.post_start, term)
+        window, item = window[which], self.post_item[at]
+        mine = wide[window * self.n_blocks + item // BLOCK]
+        pair, back = np.unique(window[mine] * len(self.ids) + item[mine], return_inverse=True)
+        score = np.bincount(back, weights=self.post_weight[at][mine], minlength=len(pair))
+        return set((pair[score >= least] % len(self.ids)).tolist())
 
     def search(self, words: list[bytes], passage: int, least: float) -> set[int]:
         """Items that some passage of a document retrieves."""
-        found = np.fromiter((self.terms.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        found = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
         at = np.flatnonzero(found >= 0)
         if not len(at):
             return set()
-        term, step = found[at], passage // 2
+        step = passage // 2
         n = max(-(-(len(words) - step) // step), 1)
-        stride = at // step
         # a word lies in the window that starts at its stride and in the one before
+        stride, term = at // step, found[at]
         window = np.concatenate([np.minimum(stride, n - 1), np.maximum(stride - 1, 0)])
         pair = np.unique(window * len(self.term_top) + np.concatenate([term, term]))
         window, term = pair // len(self.term_top), pair % len(self.term_top)
-        bound = np.bincount(window, weights=self.term_top[term], minlength=n)
         out: set[int] = set()
-        edges = np.searchsorted(window, np.arange(n + 1))
-        for w in np.flatnonzero(bound >= least).tolist():
-            out.update(self.retrieve(term[edges[w] : edges[w + 1]], least))
+        cuts = [*np.searchsorted(window, np.arange(0, n, WINDOWS)).tolist(), len(window)]
+        for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
+            if lo < hi:
+                out |= self.retrieve(window[lo:hi] - k * WINDOWS, term[lo:hi], min(WINDOWS, n - k * WINDOWS), least)
         return out
 
     def verify(self, words: list[bytes], item: int, width: int) -> list[float]:

@@ -181,7 +181,7 @@ def test_language_profiles(spark):
     rows = [(i, " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(30)), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 20)]
     df = spark.createDataFrame(rows, DOC + ", lang string")
     names, matrix = language_id.prototype_matrix(language_id.learn_prototypes(df))
-    odd = [(900, None, "aa"), (901, "12 34 !!", "aa"), (902, "", None), (903, "abc fed " * 60_000, None), (904, "u", None)]
+    odd = [(900, None, "aa"), (901, "12 34 !!", "aa"), (902, "", None), (903, "abc fed " * 60_000, None), (904, "wxu", None)]
     out = by_id(language_id.identify(spark.createDataFrame(rows + odd, DOC + ", lang string").withColumn("score", F.lit("x")), names, matrix))
     assert names == ["aa", "bb", "cc"] and all(out[i]["lang_pred"] == lang for i, _, lang in rows)
     assert [out[i]["lang_pred"] for i in (900, 901, 902, 903, 904)] == ["und", "und", "und", "aa", "bb"]
@@ -430,7 +430,7 @@ def test_wand_loses_nothing_and_several_indexes_agree(spark, monkeypatch):
     for _ in range(200):
         terms = np.unique(rng.choices(range(len(index.terms)), k=60))
         want = np.flatnonzero(dense[terms].sum(axis=0) >= 0.3).tolist()
-        assert index.retrieve(terms, 0.3) == want
+        assert index.retrieve(np.zeros(len(terms), dtype=np.int64), terms, 1, 0.3) == set(want)
     table = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in items], "item_id long, text string")
     docs = spark.createDataFrame([(i, prose(50, rng) + " " + b" ".join(items[i][1]).decode()) for i in range(30)], DOC)
     pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, table).collect()}

@@ -22,12 +22,7 @@ def linear_contributions(df: DataFrame, features: list[str], model: PipelineMode
     The scaler's mean is the population mean, so the scaled value is the distance from it; a
     missing value counts as the imputed median.
     """
-    imputer, scaler, learner = model.stages[0], model.stages[-2], model.stages[-1]
-    medians = imputer.surrogateDF.first()
-    rows = [
-        (c, float(medians[c]), float(m), float(s), float(w))
-        for c, m, s, w in zip(features, scaler.mean.toArray(), scaler.std.toArray(), learner.coefficients.toArray())
-    ]
+    rows = linear_table(features, model)
     table = df.sparkSession.createDataFrame(rows, "feature string, med double, mean double, std double, coef double")
     scaled = (F.coalesce("value", "med") - F.col("mean")) / F.col("std")
     return (
@@ -37,6 +32,40 @@ def linear_contributions(df: DataFrame, features: list[str], model: PipelineMode
     )
 
 
+def linear_table(features: list[str], model: PipelineModel) -> list[tuple[str, float, float, float, float]]:
+    """(feature, median, mean, deviation, coefficient) of a scaled logistic pipeline."""
+    imputer, scaler, learner = model.stages[0], model.stages[-2], model.stages[-1]
+    medians = imputer.surrogateDF.first()
+    return [
+        (c, float(medians[c]), float(m), float(s), float(w))
+        for c, m, s, w in zip(features, scaler.mean.toArray(), scaler.std.toArray(), learner.coefficients.toArray())
+    ]
+
+
+def linear_drivers(df: DataFrame, table: list[tuple[str, float, float, float, float]], identity: str, k: int = 6) -> DataFrame:
+    """(identity, rank, feature, value, contribution): the k strongest contributions of each row.
+
+    All of a row's contributions are built, sorted and cut inside the row, so nothing is shuffled
+    and only k rows per account come out. `table` is that of `linear_table` or any fixed one.
+    """
+    names, *numbers = zip(*table)
+    medians, means, deviations, weights = (F.array(*[F.lit(float(x)) for x in xs]) for xs in numbers)
+    labels = F.array(*[F.lit(n) for n in names])
+
+    def driver(value, i):
+        scaled = (F.coalesce(value, F.get(medians, i)) - F.get(means, i)) / F.nullif(F.get(deviations, i), F.lit(0.0))
+        moved = F.coalesce(scaled * F.get(weights, i), F.lit(0.0))
+        return F.struct(
+            (-F.abs(moved)).alias("order"), F.get(labels, i).alias("feature"), value.alias("value"), moved.alias("contribution")
+        )
+
+    values = F.array(*[F.col(f"`{n}`").cast("double") for n in names])
+    best = F.slice(F.array_sort(F.transform(values, driver)), 1, k)
+    return df.select(identity, F.posexplode(best).alias("_at", "d")).select(
+        identity, (F.col("_at") + 1).alias("rank"), "d.feature", "d.value", "d.contribution"
+    )
+
+
 def _tree_arrays(model: PipelineModel) -> tuple[list[dict], list[float]]:
     """Nodes of each tree in depth-first order, as plain arrays."""
     learner = model.stages[-1]
@@ -71,9 +100,12 @@ def _tree_arrays(model: PipelineModel) -> tuple[list[dict], list[float]]:
     return trees, weights
 
 
-def tree_contributions(df: DataFrame, features: list[str], model: PipelineModel, identity: str) -> DataFrame:
+def tree_contributions(
+    df: DataFrame, features: list[str], model: PipelineModel, identity: str, k: int | None = None
+) -> DataFrame:
     """(identity, feature, value, contribution) for a boosted-tree pipeline, by decision path.
 
+    With `k` only the k strongest of each account leave the task, with their rank.
     The node table is as large as the model and travels with the task; rows stay where they are.
     """
     trees, weights = _tree_arrays(model)
@@ -82,11 +114,14 @@ def tree_contributions(df: DataFrame, features: list[str], model: PipelineModel,
     fill = [float(medians[c]) for c in features]
     cols = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(features)]
     id_type = df.schema[identity].dataType.simpleString()
+    places = {c: i for i, c in enumerate(sorted(features))}
 
     def attribute(batches):
         import numpy as np
         import pandas as pd
 
+        by_name = np.array([places[c] for c in features])
+
         for pdf in batches:
             raw = pdf[[f"c{i}" for i in range(len(features))]].to_numpy(dtype=float)
             x = np.where(np.isnan(raw), np.array(fill), raw)
@@ -103,24 +138,46 @@ def tree_contributions(df: DataFrame, features: list[str], model: PipelineModel,
                     nxt = np.where(goes_left, l[node], r[node])
                     credit[live, f[node]] += w * (m[nxt] - m[node])
                     at[live] = nxt
-            n, k = x.shape
+            n, wide = x.shape
+            if k is not None:
+                # by size, then by name
+                best = np.lexsort((np.tile(by_name, (n, 1)), -np.abs(credit)), axis=1)[:, :k]
+                rows = np.repeat(np.arange(n), best.shape[1])
+                value = pd.Series(raw[rows, best.ravel()]).astype(object)
+                yield pd.DataFrame(
+                    {
+                        identity: pdf[identity].to_numpy()[rows],
+                        "rank": np.tile(np.arange(1, best.shape[1] + 1), n),
+                        "feature": np.array(features, dtype=object)[best.ravel()],
+                        "value": value.where(value.notna(), None),
+                        "contribution": credit[rows, best.ravel()],
+                    }
+                )
+                continue
             yield pd.DataFrame(
                 {
-                    identity: np.repeat(pdf[identity].to_numpy(), k),
+                    identity: np.repeat(pdf[identity].to_numpy(), wide),
                     "feature": np.tile(np.array(features, dtype=object), n),
                     "value": pd.Series(raw.ravel()).astype(object).where(~np.isnan(raw.ravel()), None),
                     "contribution": credit.ravel(),
                 }
             )
 
-    schema = f"{identity} {id_type}, feature string, value double, contribution double"
+    rank = "rank int, " if k is not None else ""
+    schema = f"{identity} {id_type}, {rank}feature string, value double, contribution double"
     return df.select(identity, *cols).mapInPandas(attribute, schema)
 
 
 def top_drivers(contributions: DataFrame, identity: str, k: int = 6, stats: DataFrame | None = None) -> DataFrame:
-    """The k strongest drivers of each account, with direction, readable value and context."""
-    order = Window.partitionBy(identity).orderBy(F.desc(F.abs("contribution")), "feature")
-    top = contributions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k strongest drivers of each account, with direction, readable value and context.
+
+    Contributions that carry their rank already (`linear_drivers`, `tree_contributions` with k) are
+    only cut; others are ranked by a window per account.
+    """
+    if "rank" not in contributions.columns:
+        order = Window.partitionBy(identity).orderBy(F.desc(F.abs("contribution")), "feature")
+        contributions = contributions.withColumn("rank", F.row_number().over(order))
+    top = contributions.where(F.col("rank") <= k)
     if stats is not None:
         # one row per feature: bounded by the schema
         top = top.join(F.broadcast(stats), "feature", "left").withColumn("context", percentile_note(F.col("value")))

@@ -92,20 +92,42 @@ def population_model_scores(spark, sf):
 def reasons(spark, sf):
     rows, model, _ = _logistic_scored(spark, sf)
     stats = hygiene.class_stats(rows, FEATURES, "label")
-    return explain.top_drivers(explain.linear_contributions(rows, FEATURES, model, "account_id"), "account_id", 3, stats)
+    return explain.top_drivers(explain.linear_drivers(rows, explain.linear_table(FEATURES, model), "account_id"), "account_id", stats=stats)
+
+
+#: a fixed model: feature, median, mean, deviation, coefficient
+FIXED_MODEL = [
+    ("l_quantity", 25.0, 25.5, 14.4, 0.8),
+    ("l_discount", 0.05, 0.05, 0.0316, -1.1),
+    ("l_tax", 0.04, 0.04, 0.0258, 0.3),
+    ("l_extendedprice", 30000.0, 38000.0, 23000.0, 0.55),
+]
+
+
+@query("fixed_model_drivers", """WITH l AS (SELECT *, row_number() OVER () AS rid FROM lineitem), c AS (SELECT rid, l_orderkey * 8 + l_linenumber AS id, unnest([
+  {'f': 'l_quantity', 'v': l_quantity::DOUBLE, 'c': (l_quantity::DOUBLE - 25.5) / 14.4::DOUBLE * 0.8::DOUBLE},
+  {'f': 'l_discount', 'v': l_discount::DOUBLE, 'c': (l_discount::DOUBLE - 0.05) / 0.0316::DOUBLE * (-1.1)::DOUBLE},
+  {'f': 'l_tax', 'v': l_tax::DOUBLE, 'c': (l_tax::DOUBLE - 0.04) / 0.0258::DOUBLE * 0.3::DOUBLE},
+  {'f': 'l_extendedprice', 'v': l_extendedprice::DOUBLE, 'c': (l_extendedprice::DOUBLE - 38000) / 23000::DOUBLE * 0.55::DOUBLE}]) AS d FROM l),
+r AS (SELECT id, d.f AS f, d.v AS v, d.c AS c, row_number() OVER (PARTITION BY rid ORDER BY abs(d.c) DESC, d.f) AS rank FROM c)
+SELECT id, rank::INT AS rank, f AS feature, v AS value, round(c, 6) + 0.0 AS contribution FROM r WHERE rank <= 3""")
+def fixed_model_drivers(spark, sf):
+    rows = B.table(spark, sf, "lineitem").withColumn("id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    drivers = explain.linear_drivers(rows, FIXED_MODEL, "id", 3)
+    return drivers.withColumn("contribution", F.round("contribution", 6) + F.lit(0.0))
 
 
 @query("tree_reasons")
 def tree_reasons(spark, sf):
     rows = _rows(spark, sf)
     model = L.fit(rows, FEATURES, small_trees())
-    return explain.top_drivers(explain.tree_contributions(rows, FEATURES, model, "account_id"), "account_id", 3)
+    return explain.top_drivers(explain.tree_contributions(rows, FEATURES, model, "account_id", 6), "account_id")
 
 
 @query("alert_records")
 def alert_records(spark, sf):
     rows, model, scored = _logistic_scored(spark, sf)
-    drivers = explain.top_drivers(explain.linear_contributions(rows, FEATURES, model, "account_id"), "account_id")
+    drivers = explain.top_drivers(explain.linear_drivers(rows, explain.linear_table(FEATURES, model), "account_id"), "account_id")
     return explain.alert_records(scored, drivers, "account_id").withColumn(
         "top_drivers", F.to_json("top_drivers")
     )
@@ -116,7 +138,7 @@ def watchlist_reasons(spark, sf):
     rows, model, scored = _logistic_scored(spark, sf)
     top = cut_lineage(M.watchlist(M.with_score_and_band(scored), 50))
     listed = rows.join(F.broadcast(top.select("account_id")), "account_id", "left_semi")  # 50 ids
-    drivers = explain.top_drivers(explain.linear_contributions(listed, FEATURES, model, "account_id"), "account_id")
+    drivers = explain.top_drivers(explain.linear_drivers(listed, explain.linear_table(FEATURES, model), "account_id"), "account_id")
     return explain.watchlist_reasons(top, drivers, "account_id").select(
         "account_id", "risk_score", "band", "label", "top_reasons"
     )
@@ -127,7 +149,7 @@ def investigation_reports(spark, sf):
     rows, model, scored = _logistic_scored(spark, sf)
     flagged = hygiene.row_counts(scored.where("score >= 0.9"), FEATURES)
     listed = rows.join(flagged.select("account_id"), "account_id", "left_semi")
-    drivers = explain.top_drivers(explain.linear_contributions(listed, FEATURES, model, "account_id"), "account_id")
+    drivers = explain.top_drivers(explain.linear_drivers(listed, explain.linear_table(FEATURES, model), "account_id"), "account_id")
     return explain.reports(flagged, drivers, "account_id", len(FEATURES))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ringwatch.functions.hashing import digest
 from ringwatch.functions.numbers import value_bin
 from ringwatch.operators.skew import join_counted
+from ringwatch.session import cut_lineage
 
 _ALL = "_all"
 
@@ -19,6 +20,17 @@ def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, keys) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
 
 
+def _range_bins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The rows with `_bin`, their place in a range partitioning by keys and order; written once.
+
+    The ranges are cut from a sample of the rows, so values that lie close together and texts
+    that share a start spread over bins like any others. The numbers of the bins may differ
+    between runs; sums over whole bins do not depend on where they are cut.
+    """
+    ordered = rows.withColumn("_order", order)
+    return cut_lineage(ordered.repartitionByRange(*keys, "_order").withColumn("_bin", F.spark_partition_id()).drop("_order"))
+
+
 def _offsets(binned: DataFrame, keys: list[str], totals: dict[str, Column]) -> DataFrame:
     """One row per key and bin: what lies in earlier bins, and the total of the key."""
     per_bin = binned.groupBy(*keys, "_bin").agg(*[v.alias(m) for m, v in totals.items()])
@@ -53,7 +65,7 @@ def prefix_sums(
         )
     rows, keys = _with_keys(hist, keys)
     order = F.col(value) if ascending else -F.col(value)
-    rows = rows.withColumn("_bin", value_bin(order))
+    rows = _range_bins(rows, keys, order)
     offsets = _offsets(rows, keys, {m: F.sum(m) for m in measures})
     inside = (
         Window.partitionBy(*keys, "_bin").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -146,10 +158,11 @@ def row_numbers(
     )
 
 
-def text_row_numbers(df: DataFrame, keys: list[str], text: str, name: str = "rn", letters: int = 4) -> DataFrame:
-    """Number distinct texts of each key from 0 in text order; bins are the first letters."""
+def text_row_numbers(df: DataFrame, keys: list[str], text: str, name: str = "rn") -> DataFrame:
+    """Number distinct texts of each key from 0 in text order."""
     plain = list(df.columns)
-    rows, keyed = _with_keys(df.withColumn("_bin", F.substring(text, 1, letters)), keys)
+    rows, keyed = _with_keys(df, keys)
+    rows = _range_bins(rows, keyed, F.col(text))
     offsets = _offsets(rows.withColumn("_one", F.lit(1)), keyed, {"c": F.sum("_one")})
     inside = Window.partitionBy(*keyed, "_bin").orderBy(text)
     return (

@@ -55,3 +55,21 @@ def test_case_log_feeds_its_readers(spark, tmp_path):
 def test_no_columns_give_no_rows(spark):
     df = spark.createDataFrame([(1, 2.0)], "k int, x double")
     assert feature_histogram(df, []).count() == 0 and to_long(df, [], ["k"]).columns == ["k", "feature", "value"]
+
+
+def test_bins_spread_close_values_and_common_starts(spark):
+    from ringwatch.operators.running import _range_bins, prefix_sums, text_row_numbers
+
+    n, start = 4000, 1_700_000_000_000
+    hist = spark.range(n).select((F.lit(start) + F.col("id") * 1000).alias("v"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bins = _range_bins(hist, [], F.col("v")).groupBy("_bin").count().collect()
+        assert len(bins) == 8 and max(r["count"] for r in bins) < n / 4
+        sums = prefix_sums(hist, [], "v", ["n"]).collect()
+        assert all(r["n_before"] == (r["v"] - start) // 1000 and r["n_total"] == n for r in sums)
+        ids = spark.range(n).select(F.format_string("ACC-%08d", "id").alias("t"), "id")
+        assert len(_range_bins(ids, [], F.col("t")).select("_bin").distinct().collect()) == 8
+        assert all(r["rn"] == r["id"] for r in text_row_numbers(ids, [], "t").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -1,5 +1,6 @@
 """Hand-written cases of the text operators: nulls, empty tables, ties, repeats, clashing columns, brute force."""
 
+import collections
 import itertools
 import random
 import re
@@ -289,6 +290,68 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["kept"] == (i == r["component_id"]) for i, r in out.items())
 
 
+def matrix_groups(rows, width, percent):
+    """As brute_groups, for thousands of texts of one-space words: one matrix product over the shared shingles."""
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.split() for _, t in rows)]
+    seen = collections.Counter(itertools.chain.from_iterable(sets))
+    column = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1)}
+    held = np.zeros((len(sets), len(column)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        held[i, [column[x] for x in own if x in column]] = 1
+    both, size = held @ held.T, np.array([len(x) for x in sets])
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(near, True)
+    name = np.array([i for i, _ in rows])
+    while True:
+        least = np.where(near, name[None, :], name.max()).min(axis=1)
+        if (least == name).all():
+            return {i: int(c) for (i, _), c in zip(rows, name)}
+        name = least
+
+
+def test_pairs_at_the_limit_pass_large_levels():
+    places, similarity, found, pairs = 96, 0.8, 0, 200
+    rng = np.random.default_rng(5)
+    for _ in range(pairs):
+        sig = rng.integers(0, 2**32, (2, places), dtype=np.uint32)
+        same = rng.permutation(places)[:77]
+        sig[1, same] = sig[0, same]
+        for tree in range(10):
+            root = near_duplicates.mixed(np.array([tree + 1], dtype=np.uint64) * near_duplicates._MIX)
+            nodes = []
+            for place in near_duplicates.picks(int(root[0]), places, similarity):
+                if sig[0, place] == sig[1, place]:
+                    nodes.append(int(near_duplicates.child_names(root, place, sig[:1, place])[0]))
+            for _ in range(3):
+                ends = []
+                for node in nodes:
+                    for j, path in enumerate(near_duplicates.paths(node, places, similarity)):
+                        a, b = near_duplicates.path_ends(node, path, j, sig)
+                        ends += [int(a)] if a == b else []
+                nodes = ends
+            if nodes:
+                found += 1
+                break
+    assert found >= 0.99 * pairs
+
+
+def test_pairs_under_a_shared_template_equal_brute_force(spark):
+    rng = random.Random(12)
+    fresh = (f"w{k}" for k in itertools.count())
+    template = list(itertools.islice(fresh, 75))
+    texts = []
+    for k in range(2_000):
+        own = list(itertools.islice(fresh, 25))
+        texts.append(template + own)
+        if k < 60:
+            new = 8 + k % 3  # of 97 shingles so many differ: 0.848, 0.830, 0.813
+            texts.append(template + own[:-new] + list(itertools.islice(fresh, new)))
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+    out = by_id(near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, DOC), width=4, percent=80, leaf=16))
+    assert {i: r["component_id"] for i, r in out.items()} == matrix_groups(rows, 4, 80)
+
+
 def test_near_duplicates_edge_tables(spark):
     assert near_duplicates.near_duplicate_groups(spark.createDataFrame([], DOC)).count() == 0
     text = prose(40)

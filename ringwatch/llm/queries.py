@@ -5,12 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import chat_snapshots, decontamination, language_id, line_dedup, mixing, n_gram_quality, near_duplicates, pii, url_reputation, vector_duplicates
-from ringwatch.llm import oracles
+from ringwatch.llm import chat_snapshots, decontamination, language_id, line_dedup, merkle_manifest, mixing, n_gram_quality, near_duplicates, pii, url_reputation, vector_duplicates
+from ringwatch.llm import manifest_oracle, oracles
 from ringwatch.llm.common import counted, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLES: dict[str, str] = oracles.SQL
+LLM_ORACLES: dict[str, str] = {**oracles.SQL, "op11_merkle_manifest": manifest_oracle.MANIFEST}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -95,3 +95,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.drop_shared_lines(docs, min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audited_manifest(table(spark, sf_dir, "documents"))

@@ -20,10 +20,10 @@ proofs. Columns other than doc_id, source, lang, n_chars and text are not read.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringwatch.llm.common import lower_ascii, with_missing
+from ringwatch.llm.common import lower_ascii, ranked, with_missing
 from ringwatch.session import cut_lineage
 
 FANOUT = 16
@@ -39,31 +39,6 @@ def leaf_digest(**fields: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The rows with `rank` (from 0, nulls first) and `n`, the number of rows of the key.
-
-    Ranges of keys and order are numbered inside themselves; only one count per key and range is
-    added up across ranges, so a key that holds most rows is many ranges.
-    """
-    ranged = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    whole = Window.partitionBy(*keys, F.lit(0))
-    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut_lineage(
-        ranged.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("n"))
-    )
-    same = F.col("_range") == F.col("_r")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    return (
-        ranged.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(offsets, same)
-        .select(*rows.columns, (F.col("_in") + F.col("_before")).alias("rank"), "n")
-    )
-
-
 def folded(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold nodes (tree, pos, digest, n) of any number of trees, n being the size of the tree.
 

@@ -3,6 +3,22 @@
 _HOST = "coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 
 SQL = {
+    "op12_repeated_spans": r"""
+with texts as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws from documents),
+places as (select doc_id, ws, unnest(generate_series(1, len(ws))) as p from texts),
+windows as (
+  select doc_id, p, ws[p] as w, case when p + 19 <= len(ws) then md5(array_to_string(ws[p : p + 19], ' ')) end as name from places),
+firsts as (select name, min((doc_id, p)) as at from windows where name is not null group by name),
+marked as (select w.doc_id, w.p, w.w, f.at <> (w.doc_id, w.p) as again from windows w left join firsts f using (name)),
+covered as (
+  select doc_id, p, w, coalesce(bool_or(again) over (partition by doc_id order by p rows between 19 preceding and current row), false) as gone
+  from marked),
+cut as (
+  select doc_id, count(*) filter (where gone) as n_removed, string_agg(w, ' ' order by p) filter (where not gone) as kept from covered group by doc_id)
+select t.doc_id, len(t.ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts t left join cut using (doc_id)
+""",
     "op10_line_dedup": r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringwatch.llm import chat_snapshots, decontamination, language_id, line_dedup, merkle_manifest, mixing, n_gram_quality, near_duplicates, pii, token_alignment, url_reputation, vector_duplicates
+from ringwatch.llm import chat_snapshots, decontamination, language_id, line_dedup, merkle_manifest, mixing, n_gram_quality, near_duplicates, pii, repeated_spans, token_alignment, url_reputation, vector_duplicates
 from ringwatch.llm import manifest_oracle, oracles
 from ringwatch.llm.common import counted, table
 
@@ -102,6 +102,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.audited_manifest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_alignment.align(table(spark, sf_dir, "documents"))

@@ -161,14 +161,14 @@ def typology_clusters(spark, sf):
 
 @query("anomaly_scores")
 def anomaly_scores(spark, sf):
-    return anomaly.anomaly_scores(_rows(spark, sf), FEATURES, "account_id", trees=50)
+    return anomaly.anomaly_scores(_rows(spark, sf), FEATURES, "account_id")
 
 
 @query("anomaly_hybrid")
 def anomaly_hybrid(spark, sf):
     _, _, scored = _logistic_scored(spark, sf)
     mixed = anomaly.hybrid(
-        anomaly.anomaly_scores(scored, FEATURES, "account_id", trees=50, keep=["label", "score"])
+        anomaly.anomaly_scores(scored, FEATURES, "account_id", keep=["label", "score"])
     )
     parts = [mixed.select(F.lit(n).alias("model"), "label", F.col(n).alias("score")) for n in ("score", "anomaly", "hybrid")]
     metrics = M.rank_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["model"])

@@ -83,10 +83,10 @@ def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(1)
     pts = np.vstack([rng.normal(size=(400, 2)), [[9.0, 9.0], [-8.0, 9.0]]])
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id bigint, a double, b double")
-    out = anomaly.anomaly_scores(df, ["a", "b"], "id", trees=40, subsample=64)
+    out = anomaly.anomaly_scores(df, ["a", "b"], "id", trees=40)
     top = [r["id"] for r in out.orderBy(F.desc("raw")).limit(2).collect()]
     assert set(top) == {400, 401}
-    again = anomaly.anomaly_scores(df.repartition(5), ["a", "b"], "id", trees=40, subsample=64)
+    again = anomaly.anomaly_scores(df.repartition(5), ["a", "b"], "id", trees=40)
     assert {(r["id"], round(r["raw"], 9)) for r in out.collect()} == {(r["id"], round(r["raw"], 9)) for r in again.collect()}
 
 

@@ -81,7 +81,7 @@ def prefix_sums(
     )
 
 
-def _as_fraction(q: float) -> tuple[int, int]:
+def fraction(q: float) -> tuple[int, int]:
     """The quantile as a whole-number fraction, so that ranks carry no float noise."""
     from fractions import Fraction
 
@@ -91,7 +91,7 @@ def _as_fraction(q: float) -> tuple[int, int]:
 
 def rank_parts(q: float, n: Column) -> tuple[Column, Column]:
     """Lower rank and the way to the next one, for linear interpolation over n rows."""
-    num, den = _as_fraction(q)
+    num, den = fraction(q)
     scaled = F.lit(num) * (n - 1)
     low = (scaled - F.pmod(scaled, F.lit(den))) / F.lit(float(den))
     return low.cast("bigint"), F.pmod(scaled, F.lit(den)) / F.lit(float(den))

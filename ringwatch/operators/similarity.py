@@ -1,22 +1,28 @@
 """Behavioural similarity: standardised vectors, cosine pairs, neighbours, cohesion.
 
-Pairs are compared block against block with one matrix product per task. A task holds two
-bounded blocks whatever the data size, and hands back only the pairs that are asked for.
+Pairs at a fixed cut are found by cells of near vectors (`metric`). Where a share of all pairs is
+wanted, blocks are compared with one matrix product per task; a task holds two bounded blocks
+whatever the data size, and hands back only counts or the pairs that are asked for.
 """
 
 import hashlib
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ringwatch import constants as K
 from ringwatch.functions.hashing import uniform
-from ringwatch.operators.running import exact_quantiles, row_numbers
+from ringwatch.operators.metric import DIGITS, matrix, near_pairs
+from ringwatch.operators.running import exact_quantiles, fraction, row_numbers
 from ringwatch.session import cut_lineage
 
 BLOCK_ROWS = 2048
-DIGITS = 6
 
 
 def _with_filled_medians(stats: DataFrame, medians: DataFrame, by: list[str]) -> DataFrame:
@@ -109,61 +115,96 @@ def _self_blocks(units: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def pair_similarity_counts(units: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(similarity, n): how many pairs of unit vectors share each cosine, rounded to six digits."""
-    digits = DIGITS
+def _tiles(units: DataFrame, masks: np.ndarray, block_rows: int, work: Callable, schema: str) -> DataFrame:
+    """`work(replicate, codes, pairs, left ids, right ids)` on the cosines of every pair of blocks, for all replicates.
 
-    def count(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        a, b = key
-        left = pdf[pdf["_own"] == a]
-        right = pdf[pdf["_own"] == b]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"similarity": [], "n": []})
-        sims = np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T
-        if a == b:
-            sims = sims[np.triu_indices(len(left), k=1)]
-        values, counts = np.unique(np.round(sims, digits).ravel() + 0.0, return_counts=True)
-        return pd.DataFrame({"similarity": values, "n": counts})
-
-    blocks = _self_blocks(units, block_rows)
-    per_task = blocks.groupBy("_a", "_b").applyInPandas(count, "similarity double, n bigint")
-    return per_task.groupBy("similarity").agg(F.sum("n").alias("n"))
-
-
-def similarity_cut(units: DataFrame, quantile: float = K.EDGE_QUANTILE, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row: the similarity that the given share of all pairs stays below."""
-    from ringwatch.operators.running import prefix_sums, quantile_columns
-
-    running = prefix_sums(pair_similarity_counts(units, block_rows), [], "similarity", ["n"])
-    return running.agg(*quantile_columns("similarity", "n", "n_before", "n_total", {"cut": quantile}))
+    `masks` has a row of zeros and ones per replicate: the dimensions it uses. A tile reads its
+    vectors once. Codes are cosines in millionths; `pairs` marks those to count, each pair once.
+    """
+    scale = 10**DIGITS
+
+    def run(key, rows):
+        a, b = (k.as_py() for k in key)
+        own = rows.column("_own").to_numpy()
+        left, right = (rows.filter(pa.array(own == k)) for k in (a, b))
+        parts = []
+        if left.num_rows and right.num_rows:
+            x, y = matrix(left.column("vector")), matrix(right.column("vector"))
+            pairs = np.triu(np.ones((len(x), len(x)), dtype=bool), k=1) if a == b else np.ones((len(x), len(y)), dtype=bool)
+            for r, mask in enumerate(masks):
+                units_of = [v * mask / np.maximum(np.linalg.norm(v * mask, axis=1, keepdims=True), 1e-300) for v in (x, y)]
+                codes = np.rint(np.round(units_of[0] @ units_of[1].T, DIGITS) * scale).astype(np.int64)
+                parts.append(work(r, codes, pairs, left.column("id").to_numpy(), right.column("id").to_numpy()))
+        return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=to_arrow_schema(StructType.fromDDL(schema)))
+
+    return _self_blocks(units, block_rows).groupBy("_a", "_b").applyInArrow(run, schema)
+
+
+def masked_cuts(units: DataFrame, masks: np.ndarray, quantile: float, block_rows: int = BLOCK_ROWS) -> list[float | None]:
+    """Per replicate the cosine, in six digits, that the given share of all pairs stays below.
+
+    Two passes of tiles count: cosines to three digits first, then only those about the wanted
+    ranks to six. What comes back to the driver is a few thousand counts a replicate at any size.
+    """
+    coarse = 10 ** (DIGITS - 3)
+
+    def counted(wanted: dict[int, list[int]] | None) -> Callable:
+        def work(r, codes, pairs, _left, _right):
+            values = codes[pairs]
+            values = values // coarse if wanted is None else values[np.isin(values // coarse, wanted[r])]
+            value, n = np.unique(values, return_counts=True)
+            return pa.table({"replicate": np.full(len(value), r, dtype=np.int32), "code": value, "n": n})
+
+        return work
+
+    def counts(wanted=None) -> dict[int, list[tuple[int, int]]]:
+        found = _tiles(units, masks, block_rows, counted(wanted), "replicate int, code long, n long")
+        out: dict[int, list] = {r: [] for r in range(len(masks))}
+        for row in found.groupBy("replicate", "code").agg(F.sum("n").alias("n")).collect():
+            out[row["replicate"]].append((row["code"], row["n"]))
+        return {r: sorted(v) for r, v in out.items()}
+
+    first, ranks, wanted, before = counts(), {}, {}, {}
+    for r, bins in first.items():
+        total = sum(n for _, n in bins)
+        num, den = fraction(quantile)
+        low, share = divmod(num * (total - 1), den) if total else (0, 0)
+        ranks[r] = (low, min(low + 1, total - 1), share / den)
+        wanted[r], before[r], seen = [], {}, 0
+        for value, n in bins:
+            if any(seen <= k < seen + n for k in ranks[r][:2]):
+                wanted[r].append(value)
+                before[r][value] = seen
+            seen += n
+    cuts = []
+    for r, codes in counts(wanted).items():
+        values = {}
+        for k in ranks[r][:2]:
+            at: dict[int, int] = dict(before[r])
+            for code, n in codes:
+                if at[code // coarse] <= k < at[code // coarse] + n:
+                    values[k] = code
+                at[code // coarse] += n
+        low, high, share = ranks[r]
+        scale = 10.0**DIGITS
+        cuts.append(values[low] / scale + (values[high] / scale - values[low] / scale) * share if values else None)
+    return cuts
+
+
+def pair_count(units: DataFrame) -> int:
+    n = units.count()
+    return n * (n - 1) // 2
+
+
+def similarity_cut(units: DataFrame, quantile: float = K.EDGE_QUANTILE, block_rows: int = BLOCK_ROWS) -> float | None:
+    """The similarity that the given share of all pairs stays below."""
+    first = units.select(F.size("vector").alias("d")).first()
+    return masked_cuts(units, np.ones((1, first["d"])), quantile, block_rows)[0] if first else None
 
 
 def similar_pairs(units: DataFrame, min_similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(src, dst, similarity) of all pairs of unit vectors at or above the cut; smaller id first."""
-    digits = DIGITS
-
-    def pairs(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        a, b = key
-        left = pdf[pdf["_own"] == a]
-        right = pdf[pdf["_own"] == b]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
-        sims = np.round(np.stack(left["vector"].to_numpy()) @ np.stack(right["vector"].to_numpy()).T, digits) + 0.0
-        keep = sims >= min_similarity
-        if a == b:
-            keep &= np.triu(np.ones_like(keep, dtype=bool), k=1)
-        i, j = np.nonzero(keep)
-        x, y = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        return pd.DataFrame({"src": np.minimum(x, y), "dst": np.maximum(x, y), "similarity": sims[i, j]})
-
-    blocks = _self_blocks(units, block_rows)
-    return blocks.groupBy("_a", "_b").applyInPandas(pairs, "src bigint, dst bigint, similarity double")
+    return near_pairs(units, min_similarity, cell_rows=block_rows)
 
 
 def similarity_graph(
@@ -171,13 +212,13 @@ def similarity_graph(
 ) -> DataFrame:
     """Edges between the most similar pairs, after imputing and standardising.
 
-    The cut is a single number and is read at plan time, so each task can drop pairs at once.
-    The share is over all pairs, which takes every block against every other: meant for the
-    confirmed positives. For large sets give `similar_pairs` a fixed cut.
+    The cut is a single number and is read at plan time. A share of all pairs takes every block
+    against every other, and the edges are a share of them: meant for the confirmed positives. For
+    large sets give `similar_pairs` a fixed cut, which compares near cells only.
     """
     units = standard_units(vectors)
-    cut = similarity_cut(units, quantile, block_rows).first()["cut"]
-    return similar_pairs(units, cut, block_rows)
+    cut = similarity_cut(units, quantile, block_rows)
+    return similar_pairs(units, 2.0 if cut is None else cut, block_rows)
 
 
 def ego_network(vectors: DataFrame, centre: int, k: int = K.EGO_NEIGHBOURS) -> DataFrame:
@@ -306,7 +347,9 @@ def ring_stability(
     """(replicate, jaccard): overlap of the largest ring with the one of all dimensions, rebuilt on
     random parts of the dimensions.
 
-    All rebuilt graphs go through one components run; node ids carry the replicate.
+    A dimension is imputed and scaled by itself, so vectors are prepared once; a rebuild is a mask on
+    them, and a tile computes all masked products of its blocks at once. All rebuilt graphs go
+    through one components run; node ids carry the replicate.
     """
     from ringwatch.operators.components import component_sizes, connected_components
 
@@ -316,16 +359,19 @@ def ring_stability(
         draw = sorted(range(dimensions), key=lambda d: hashlib.md5(f"{seed}:{r}:{d}".encode()).hexdigest())
         return sorted(draw[:keep])
 
-    picked = [part_of(r) for r in range(replicates)]
-    graphs = [(0, similarity_graph(vectors, quantile, block_rows))]
-    for r, part in enumerate(picked, start=1):
-        chosen = F.array(*[F.get(F.col("vector"), F.lit(d)) for d in part])
-        graphs.append((r, similarity_graph(vectors.withColumn("vector", chosen), quantile, block_rows)))
+    masks = np.ones((replicates + 1, dimensions))
+    for r in range(replicates):
+        masks[r + 1, np.setdiff1d(np.arange(dimensions), part_of(r))] = 0.0
+    units = cut_lineage(impute_and_standardise(vectors).select("id", "vector"))
+    scale = 10**DIGITS
+    cuts = [math.inf if c is None else c for c in masked_cuts(units, masks, quantile, block_rows)]
     total = replicates + 1
-    tagged = [g.select((F.col("src") * total + r).alias("src"), (F.col("dst") * total + r).alias("dst")) for r, g in graphs]
-    edges = tagged[0]
-    for t in tagged[1:]:
-        edges = edges.unionByName(t)
+
+    def linked(r, codes, pairs, left, right):
+        i, j = np.nonzero(pairs & (codes / scale >= cuts[r]))
+        return pa.table({"src": left[i] * total + r, "dst": right[j] * total + r})
+
+    edges = cut_lineage(_tiles(units, masks, block_rows, linked, "src long, dst long"))
     comps = connected_components(edges)
     sizes = component_sizes(comps).withColumn("replicate", F.pmod("component", F.lit(total)).cast("int"))
     largest = sizes.groupBy("replicate").agg(

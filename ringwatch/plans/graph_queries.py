@@ -14,8 +14,8 @@ RING_QUANTILE = 0.995
 @query("sim_cut", f"WITH {O.VECTORS} SELECT round(quantile_cont(similarity, 0.94), 6) AS cut, count(*) AS n_pairs FROM pairs")
 def sim_cut(spark, sf):
     units = similarity.standard_units(B.vectors(spark, sf))
-    pairs = similarity.pair_similarity_counts(units).agg(F.sum("n").alias("n"))
-    return rounded(similarity.similarity_cut(units), 6, "cut").withColumn("n_pairs", pairs.scalar())
+    row = [(similarity.similarity_cut(units), similarity.pair_count(units))]
+    return rounded(spark.createDataFrame(row, "cut double, n_pairs long"), 6, "cut")
 
 
 @query("sim_edges", f"WITH {O.VECTORS} SELECT src, dst, similarity FROM pairs WHERE similarity >= (SELECT quantile_cont(similarity, 0.94) FROM pairs)")
@@ -117,9 +117,23 @@ def cohesion_against_chance(spark, sf):
     return similarity.cohesion_against_chance(vectors, members, vectors.where("label <> 0").select("id"), size)
 
 
-@query("ring_stability")
+@query("ring_stability", f"""WITH RECURSIVE {O.VECTORS},
+parts AS (SELECT r, d FROM (SELECT r, d, row_number() OVER (PARTITION BY r ORDER BY md5('42:' || (r - 1) || ':' || d)) AS k
+  FROM (SELECT unnest(range(0, 31)) AS r), (SELECT unnest(range(0, 64)) AS d)) WHERE r = 0 OR k <= 51),
+mz AS (SELECT r, id, dim, x FROM z JOIN parts ON d = dim - 1), ml AS (SELECT r, id, sqrt(sum(x * x)) AS l FROM mz GROUP BY 1, 2),
+mu AS (SELECT r, id, list(x / l ORDER BY dim) AS v FROM mz JOIN ml USING (r, id) GROUP BY 1, 2),
+mp AS (SELECT a.r, a.id AS src, b.id AS dst, round(list_dot_product(a.v, b.v), 6) AS s FROM mu a JOIN mu b ON a.r = b.r AND a.id < b.id),
+mc AS (SELECT r, quantile_cont(s, {RING_QUANTILE}) AS c FROM mp GROUP BY 1),
+edges AS (SELECT src * 31 + r AS src, dst * 31 + r AS dst FROM mp JOIN mc USING (r) WHERE s >= c),
+{O.COMPONENTS},
+sz AS (SELECT component % 31 AS r, component, count(*) AS n FROM comp GROUP BY 1, 2),
+big AS (SELECT r, arg_max(component, n * 1000000000000 - component) AS component FROM sz GROUP BY 1),
+mem AS (SELECT r, id // 31 AS id FROM comp JOIN big USING (component)),
+base AS (SELECT id FROM mem WHERE r = 0)
+SELECT r::INT AS replicate, count(b.id)::DOUBLE / (count(*) + (SELECT count(*) FROM base) - count(b.id)) AS jaccard
+FROM mem LEFT JOIN base b USING (id) WHERE r > 0 GROUP BY 1""")
 def ring_stability(spark, sf):
-    return similarity.ring_stability(B.vectors(spark, sf), 64, RING_QUANTILE, replicates=3)
+    return similarity.ring_stability(B.vectors(spark, sf), 64, RING_QUANTILE)
 
 
 def _edges(spark, sf):

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ringwatch import constants as K
 from ringwatch.functions.hashing import uniform
-from ringwatch.operators.metric import DIGITS, matrix, near_pairs
+from ringwatch.operators.metric import DIGITS, matrix, near_pairs, nearest
 from ringwatch.operators.running import exact_quantiles, fraction, row_numbers
 from ringwatch.session import cut_lineage
 
@@ -42,15 +42,10 @@ def _with_filled_medians(stats: DataFrame, medians: DataFrame, by: list[str]) ->
     )
 
 
-def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Replace missing cells by the median of their dimension, then scale to mean 0, spread 1.
-
-    Dimensions without spread are only centred. The statistics are one value per dimension;
-    they are joined as one array row (per key).
-    """
-    keys = keys or []
+def fitted_statistics(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _stats): median, mean and spread of every dimension as one array row per key."""
     by = [*keys, "dim"]
-    cells = vectors.select(*keys, "id", F.posexplode("vector").alias("dim", "x"))
+    cells = vectors.select(*keys, F.posexplode("vector").alias("dim", "x"))
     stats = cells.groupBy(*by).agg(
         F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n"),
         F.count(F.lit(1)).alias("n_all"),
@@ -59,13 +54,16 @@ def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) ->
         stats = stats.withColumn("med", F.lit(None).cast("double"))
     else:
         stats = _with_filled_medians(stats, exact_quantiles(cells, "x", {"med": 0.5}, by), by)
-    packed = stats.groupBy(*keys).agg(
+    return stats.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("dim", "med", "mean", "std"))),
             lambda s: F.struct(s["med"].alias("med"), s["mean"].alias("mean"), s["std"].alias("std")),
         ).alias("_stats")
     )
-    rows = vectors.join(packed, keys) if keys else vectors.withColumn("_stats", packed.scalar())
+
+
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """Vectors filled and scaled by the statistics beside them."""
 
     def scaled(x: Column, s: Column) -> Column:
         centred = F.coalesce(x, s["med"]) - s["mean"]
@@ -74,6 +72,17 @@ def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) ->
     return rows.withColumn("vector", F.zip_with("vector", "_stats", scaled)).drop("_stats")
 
 
+def impute_and_standardise(vectors: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Replace missing cells by the median of their dimension, then scale to mean 0, spread 1.
+
+    Dimensions without spread are only centred. The statistics are one value per dimension;
+    they are joined as one array row (per key).
+    """
+    keys = keys or []
+    packed = fitted_statistics(vectors, keys)
+    return with_statistics(vectors.join(packed, keys) if keys else vectors.withColumn("_stats", packed.scalar()))
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -122,6 +131,7 @@ def _tiles(units: DataFrame, masks: np.ndarray, block_rows: int, work: Callable,
     vectors once. Codes are cosines in millionths; `pairs` marks those to count, each pair once.
     """
     scale = 10**DIGITS
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(key, rows):
         a, b = (k.as_py() for k in key)
@@ -135,7 +145,7 @@ def _tiles(units: DataFrame, masks: np.ndarray, block_rows: int, work: Callable,
                 units_of = [v * mask / np.maximum(np.linalg.norm(v * mask, axis=1, keepdims=True), 1e-300) for v in (x, y)]
                 codes = np.rint(np.round(units_of[0] @ units_of[1].T, DIGITS) * scale).astype(np.int64)
                 parts.append(work(r, codes, pairs, left.column("id").to_numpy(), right.column("id").to_numpy()))
-        return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=to_arrow_schema(StructType.fromDDL(schema)))
+        return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=arrow)
 
     return _self_blocks(units, block_rows).groupBy("_a", "_b").applyInArrow(run, schema)
 
@@ -281,6 +291,31 @@ def similarity_to_positives(
     return top.groupBy("id").agg(F.avg("similarity").alias("positive_similarity"))
 
 
+def fold_similarity_to_positives(
+    vectors: DataFrame, label: str, fold: str, folds: int, k: int = K.SIMILAR_POSITIVES, cell_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(fold, id, held_out, positive_similarity): for each held-out fold the mean of the k highest cosines
+    of every row to the positives of the other folds.
+
+    Medians, means and spreads are fitted on the other folds only, as a table with one row per
+    fold, and applied to all rows. A positive of the other folds counts for itself, as it does
+    in the feature that a model of these folds is trained on. Without positives there is no row.
+    """
+    rows = vectors.select("id", "vector", F.col(fold).cast("int").alias("_own"), (F.col(label) == 1).alias("_pos"))
+    all_folds = F.array(*[F.lit(f) for f in range(folds)])
+    training = rows.withColumn("fold", F.explode(F.array_except(all_folds, F.array("_own"))))
+    fitted = cut_lineage(fitted_statistics(training, ["fold"]))
+    # one row per fold
+    scaled = with_statistics(rows.withColumn("fold", F.explode(all_folds)).join(F.broadcast(fitted), "fold"))
+    units = cut_lineage(unit_vectors(scaled).withColumn("grp", F.col("fold").cast("long")))
+    positives = units.where(F.col("_pos") & (F.col("_own") != F.col("fold")))
+    top = nearest(units.select("grp", "id", "vector"), positives.select("grp", "id", "vector"), k, cell_rows)
+    mean = F.aggregate("top", F.lit(0.0), lambda s, x: s + x) / F.size("top")
+    return units.select("fold", "id", "grp", (F.col("_own") == F.col("fold")).alias("held_out")).join(
+        top.select("grp", "id", mean.alias("positive_similarity")), ["grp", "id"]
+    ).select("fold", "id", "held_out", "positive_similarity")
+
+
 def _mean_pair_similarity(grouped: DataFrame, group: str) -> DataFrame:
     """Mean cosine over the pairs of each group from the sum of its unit vectors, pair-free."""
     cells = grouped.select(group, "id", F.posexplode("vector").alias("dim", "x"))

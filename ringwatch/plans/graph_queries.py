@@ -92,6 +92,26 @@ def positive_similarity(spark, sf):
     return rounded(similarity.similarity_to_positives(rows, "is_positive", "fold"), 6, "positive_similarity")
 
 
+@query("fold_positive_similarity", """WITH c AS (SELECT vec_id AS id, label, (vec_id % 5)::INT AS own, generate_subscripts(embedding, 1) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+g AS (SELECT id, label, own, dim, CASE WHEN (id * 7 + dim) % 29 = 0 THEN NULL ELSE x END AS x FROM c), f AS (SELECT unnest(range(0, 5))::INT AS fold),
+md AS (SELECT fold, dim, quantile_cont(x, 0.5) AS med FROM g JOIN f ON own <> fold GROUP BY 1, 2),
+fl AS (SELECT fold, id, label, own, dim, coalesce(x, med) AS x FROM g CROSS JOIN f JOIN md USING (fold, dim)),
+st AS (SELECT fold, dim, avg(x) AS m, stddev_pop(x) AS s FROM fl WHERE own <> fold GROUP BY 1, 2),
+z AS (SELECT fold, id, label, own, dim, CASE WHEN s > 0 THEN (x - m) / s ELSE x - m END AS x FROM fl JOIN st USING (fold, dim)),
+l AS (SELECT fold, id, sqrt(sum(x * x)) AS n FROM z GROUP BY 1, 2),
+u AS (SELECT fold, id, any_value(label) AS label, any_value(own) AS own, list(x / n ORDER BY dim) AS v FROM z JOIN l USING (fold, id) GROUP BY 1, 2),
+s AS (SELECT a.fold, a.id, a.own = a.fold AS held_out, list_dot_product(a.v, b.v) AS s,
+  row_number() OVER (PARTITION BY a.fold, a.id ORDER BY list_dot_product(a.v, b.v) DESC) AS k
+  FROM u a JOIN u b ON a.fold = b.fold AND b.label = 0 AND b.own <> b.fold)
+SELECT fold, id, held_out, round(avg(s), 6) AS positive_similarity FROM s WHERE k <= 5 GROUP BY 1, 2, 3""")
+def fold_positive_similarity(spark, sf):
+    gap = lambda x, i: F.when((F.col("id") * 7 + i + 1) % 29 != 0, x)
+    rows = B.vectors(spark, sf).select(
+        "id", F.transform("vector", gap).alias("vector"), (F.col("label") == 0).cast("int").alias("is_positive"), F.pmod("id", F.lit(5)).alias("fold")
+    )
+    return rounded(similarity.fold_similarity_to_positives(rows, "is_positive", "fold", 5), 6, "positive_similarity")
+
+
 @query("ring_cohesion", f"""WITH RECURSIVE {_SIM_RINGS}, m AS (SELECT ring_id, id FROM rg JOIN comp USING (component))
 SELECT a.ring_id::INT AS ring_id, max(size) AS n, round(avg(list_dot_product(x.v, y.v)), 6) AS cohesion
 FROM m a JOIN m b ON a.ring_id = b.ring_id AND a.id < b.id JOIN u x ON x.id = a.id JOIN u y ON y.id = b.id JOIN rg ON rg.ring_id = a.ring_id GROUP BY 1""")

@@ -78,3 +78,37 @@ def test_cut_at_a_share_of_all_pairs(spark):
         sims = np.round(y @ y.T, 6)[np.triu_indices(300, 1)]
         assert cut == pytest.approx(np.quantile(sims, 0.94), abs=1e-9)
     assert similarity.similarity_cut(df.limit(0)) is None and similarity.similarity_cut(df.limit(1)) is None
+
+
+@pytest.mark.parametrize("cell_rows, spread", [(2048, 0.1), (25, 0.1), (25, 1.0)])
+def test_nearest_equal_all_pairs(spark, cell_rows, spread):
+    x, df = units_frame(spark, clusters(400, 6, 12, spread, 9))
+    rows = df.withColumn("grp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(7))))
+    targets = df.where("id % 3 = 0").withColumn("grp", F.lit(0)).unionByName(df.where("id < 3").withColumn("grp", F.lit(1)))
+    got = {(r["grp"], r["id"]): r["top"] for r in metric.nearest(rows, targets, 5, cell_rows, pivots=16).collect()}
+    assert len(got) == 800  # group 7 has no targets
+    for grp, ids in ((0, np.arange(0, 400, 3)), (1, np.arange(3))):
+        top = -np.sort(-(x @ x[ids].T), axis=1)[:, :5]
+        assert all(got[grp, i] == pytest.approx(top[i].tolist()) for i in range(400))
+
+
+def test_fold_similarity_is_fitted_on_the_other_folds(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(90, 5)) * [1, 10, 0.1, 3, 1] + [0, 5, 0, 0, 9]
+    gaps = rng.random(x.shape) < 0.1
+    own, y = np.arange(90) % 4, np.arange(90) % 3 == 0
+    rows = [(i, [None if g else float(v) for v, g in zip(x[i], gaps[i])], int(y[i]), int(own[i])) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, y int, f int")
+    got = {(r["fold"], r["id"]): r for r in similarity.fold_similarity_to_positives(df, "y", "f", 4, cell_rows=13).collect()}
+    assert len(got) == 360
+    z = np.where(gaps, np.nan, x)
+    for f in range(4):
+        train = own != f
+        med = np.nanmedian(z[train], axis=0)
+        filled = np.where(np.isnan(z), med, z)
+        scaled = (filled - filled[train].mean(axis=0)) / filled[train].std(axis=0)
+        u = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+        for i in range(90):
+            r = got[f, i]
+            assert r["held_out"] == (own[i] == f)
+            assert r["positive_similarity"] == pytest.approx(np.sort(u[train & y] @ u[i])[-5:].mean())

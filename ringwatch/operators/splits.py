@@ -1,10 +1,10 @@
 """Folds, hold-outs, samples and bootstrap draws that any run repeats exactly."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import constants as K
-from ringwatch.functions.hashing import poisson_one, uniform
+from ringwatch.functions.hashing import poisson, poisson_one, uniform
 from ringwatch.operators.metrics import score_curve
 from ringwatch.operators.running import exact_quantiles, row_numbers
 
@@ -78,34 +78,37 @@ def bootstrap_precision(
 
 
 def bootstrap_precision_binned(
-    scores: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, seed: int = 42, score: str = "score",
-    label: str = "label",
+    scores: DataFrame, replicates: int = K.BOOTSTRAP_REPLICATES, seed: int | str = 42, score: str = "score",
+    label: str = "label", digits: int = 4,
 ) -> DataFrame:
-    """The same draw on the score histogram: n rows with equal score and label draw Poisson(n)."""
-    import numpy as np
+    """The same draw on a histogram of the scores to `digits` places: n rows of a bin and label draw Poisson(n).
 
-    bins = scores.groupBy(F.col(score).alias("score"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    slots = scores.sparkSession.sparkContext.defaultParallelism
-    copies = bins.repartition(slots, "score", "label").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn(
-        "_key", F.xxhash64(F.lit(seed), "replicate", "score", "label")
+    The histogram has at most 10 ** digits + 1 bins for scores from 0 to 1, whatever the rows. It is
+    one array, beside which each replicate draws all bins in its row and adds up its curve; nothing is
+    shuffled but the histogram.
+    """
+    binned = F.bround(F.col(score) * 10**digits).cast("long")
+    bins = scores.where(F.col(score).isNotNull()).groupBy(binned.alias("bin")).agg(
+        F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")
     )
+    packed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "neg", "pos")), asc=False).alias("bins"))
+    spark = scores.sparkSession
+    slots = min(spark.sparkContext.defaultParallelism, replicates)
+    rows = spark.range(1, replicates + 1, 1, slots).select(F.col("id").cast("int").alias("replicate"), packed.scalar().alias("bins"))
 
-    def draw(batches):
-        # one generator per row key: the draw does not depend on how rows are batched
-        for pdf in batches:
-            w = [
-                np.random.Generator(np.random.Philox(key=int(k) & (2**64 - 1))).poisson(n)
-                for k, n in zip(pdf["_key"], pdf["n"])
-            ]
-            yield pdf[["replicate", "score", "label"]].assign(w=w)
+    def drawn(b: Column, which: str) -> Column:
+        return poisson(uniform(seed, "replicate", b["bin"], F.lit(which)), b[which])
 
-    drawn = copies.mapInPandas(draw, "replicate int, score double, label int, w bigint")
-    hist = (
-        drawn.groupBy("replicate", "score")
-        .agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("pos"))
-        .where("n > 0")
-    )
-    return _replicate_precision(hist)
+    rows = rows.withColumn("bins", F.transform("bins", lambda b: F.struct(drawn(b, "neg").alias("neg"), drawn(b, "pos").alias("pos"))))
+    rows = rows.withColumn("n_pos", F.aggregate("bins", F.lit(0).cast("long"), lambda s, b: s + b["pos"])).where("n_pos >= 2")
+    start = F.struct(F.lit(0).cast("long").alias("alerts"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("ap"))
+
+    def step(s: Column, b: Column) -> Column:
+        alerts, tp = s["alerts"] + b["neg"] + b["pos"], s["tp"] + b["pos"]
+        gain = F.when(b["pos"] > 0, b["pos"].cast("double") / F.col("n_pos") * (tp.cast("double") / alerts)).otherwise(F.lit(0.0))
+        return F.struct(alerts.alias("alerts"), tp.alias("tp"), (s["ap"] + gain).alias("ap"))
+
+    return rows.select("replicate", F.aggregate("bins", start, step, lambda s: s["ap"]).alias("average_precision"), "n_pos")
 
 
 def _replicate_precision(hist: DataFrame) -> DataFrame:

@@ -397,6 +397,37 @@ def bootstrap_ci(spark, sf):
     return rounded(out, 6, "ci_lo", "ci_hi", "mean")
 
 
+def _walk(mean: str) -> str:
+    """Poisson draw by cutting the unit interval around the mean, as a lambda over the steps."""
+    lam, m = f"{mean}::DOUBLE", mean
+    fact = (f"CASE WHEN {m} <= 20 THEN ln(factorial(least({m}, 20)::INT)::DOUBLE) ELSE {lam} * ln({lam}) - {lam} + 0.5::DOUBLE * ln(6.283185307179586::DOUBLE * {lam})"
+            f" + (1.0::DOUBLE / (12.0::DOUBLE * {lam}) - 1.0::DOUBLE / (360.0::DOUBLE * {lam} * {lam} * {lam}) + 1.0::DOUBLE / (1260.0::DOUBLE * {lam} * {lam} * {lam} * {lam} * {lam})) END")
+    p = f"exp({m} * ln({lam}) - {lam} - ({fact}))"
+    up, down = f"(s.up * {lam} / ({m} + j))", f"(CASE WHEN j <= {m} THEN s.down * ({m} - j + 1) / {lam} ELSE 0.0::DOUBLE END)"
+    step = f"""lambda s, j: {{'rest': CASE WHEN s.done THEN s.rest ELSE s.rest - {up} - {down} END, 'up': {up}, 'down': {down},
+      'k': CASE WHEN s.done THEN s.k WHEN s.rest < {up} THEN {m} + j WHEN s.rest - {up} < {down} THEN {m} - j ELSE s.k END,
+      'done': s.done OR s.rest < {up} OR s.rest - {up} < {down}}}"""
+    start = f"{{'rest': u - {p}, 'up': {p}, 'down': {p}, 'k': {m}::BIGINT, 'done': u < {p}}}"
+    return f"CASE WHEN {m} > 0 THEN list_reduce(generate_series(1, ceil(10 * sqrt({lam}))::BIGINT + 12), {step}, {start}).k ELSE 0 END"
+
+
+_BINNED = f"""
+b AS (SELECT round_even((n_chars % 997) / 997.0::DOUBLE * 10000, 0)::BIGINT AS bin, toxic AS label, count(*) AS n
+  FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT replicate, bin, label, n, {O.HASH.format("'42:' || replicate || ':' || bin || ':' || CASE label WHEN 1 THEN 'pos' ELSE 'neg' END")} AS u
+  FROM b CROSS JOIN (SELECT unnest(range(1, 2001)) AS replicate)),
+w AS (SELECT replicate, bin, label, {_walk("n")} AS w FROM d),
+h AS (SELECT replicate, bin, sum(w) AS n, coalesce(sum(w) FILTER (label = 1), 0) AS pos FROM w GROUP BY 1, 2),
+c AS (SELECT *, sum(n) OVER o AS a, sum(pos) OVER o AS tp, sum(pos) OVER (PARTITION BY replicate) AS np FROM h WINDOW o AS (PARTITION BY replicate ORDER BY bin DESC)),
+ap AS (SELECT replicate, coalesce(sum(pos::DOUBLE / np * (tp::DOUBLE / a)) FILTER (pos > 0), 0) AS average_precision, max(np)::BIGINT AS n_pos FROM c WHERE np >= 2 GROUP BY 1)
+"""
+
+
+@query("bootstrap_binned_replicates", f"WITH {_BINNED} SELECT replicate::INT AS replicate, round(average_precision, 8) AS average_precision, n_pos FROM ap")
+def bootstrap_binned_replicates(spark, sf):
+    return rounded(splits.bootstrap_precision_binned(_boot_scores(spark, sf)), 8, "average_precision")
+
+
 @query("bootstrap_binned")
 def bootstrap_binned(spark, sf):
-    return splits.bootstrap_precision_binned(B.rare_run(spark, sf), replicates=200)
+    return splits.bootstrap_precision_binned(B.rare_run(spark, sf), digits=2)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +162,21 @@ def test_binned_bootstrap_agrees_with_row_bootstrap(spark):
     assert again["mean"] == pytest.approx(b["mean"])
 
 
+@pytest.mark.parametrize("mean", [0, 1, 3, 20, 21, 400, 30_000])
+def test_poisson_draws_have_their_distribution(spark, mean):
+    from ringwatch.functions.hashing import poisson, uniform
+
+    n = 2_000 if mean > 1_000 else 8_000
+    draws = np.array([r[0] for r in spark.range(n).select(poisson(uniform("p", "id"), F.lit(mean))).collect()])
+    if not mean:
+        assert not draws.any()
+        return
+    assert abs(draws.mean() - mean) < 5 * math.sqrt(mean / n) and draws.var() == pytest.approx(mean, rel=0.2)
+    for k in range(max(mean - 3, 0), mean + 3):
+        p = math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        assert abs((draws == k).mean() - p) < 5 * math.sqrt(p / n) + 1e-3
+
+
 def test_metrics_rows_need_a_dataset(spark):
     with pytest.raises(ValueError):
         M.metrics_rows(spark.createDataFrame([(1,)], "n int"), " ", [])

@@ -1,11 +1,14 @@
 """Queries on transaction, ticket, rail and event feeds."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ringwatch.operators import fusion, rules
 from ringwatch.plans import bindings as B
 from ringwatch.plans import oracles as O
 from ringwatch.plans.registry import query, rounded
+from ringwatch.session import cut_lineage, shared_folder
 from ringwatch.sources.roles import transactions
 from ringwatch.streaming import feeds, runner
 
@@ -250,3 +253,42 @@ def stream_without_repeats(spark, sf):
     # every event is delivered twice
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     return runner.drain(feeds.without_repeats(twice, "event_id").select("event_id", "sender"), "without_repeats")
+
+
+@query("stream_event_high_value", _EVENT_SCORE % _CUT)
+def stream_event_high_value(spark, sf):
+    """The cut of the whole feed is saved first; every batch is scored by the newest saved one."""
+    cuts = f"{shared_folder(spark)}/streams/cuts-{uuid.uuid4().hex}"
+    feeds.save_high_value(B.event_feed(spark, sf), cuts)
+    scored = runner.drain_batches(
+        _event_stream(spark, sf), "event_high_value", lambda batch: feeds.score_events(batch, feeds.saved_high_value(spark, cuts))
+    )
+    return scored.select("event_id", "suspicion_score", "flag", "action")
+
+
+_DELIVERED = """
+d AS (SELECT event_id, ts, least(floor(4 * (epoch_us(ts) - lo) / (hi - lo + 1.0::DOUBLE))::INT + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END, 4) AS b
+  FROM ev, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM ev)),
+m AS (SELECT b, max(max(ts)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM d GROUP BY 1),
+l AS (SELECT d.b, coalesce(ts < newest - INTERVAL 1 hour, false) AS late FROM d JOIN m USING (b))
+SELECT b AS batch, count(*) FILTER (NOT late) AS n_in_time, count(*) FILTER (late) AS n_late FROM l GROUP BY 1"""
+
+
+@query("stream_late_events", f"WITH {O.EVENTS}, {_DELIVERED}")
+def stream_late_events(spark, sf):
+    """Events delivered in five parts by their time, every ninth one part later: late rows are set aside and counted."""
+    events = B.event_feed(spark, sf)
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    quarter = F.floor(4 * (F.unix_micros("ts") - F.lit(ends["lo"])) / F.lit(ends["hi"] - ends["lo"] + 1.0)).cast("int")
+    part = F.least(quarter + F.when(F.col("event_id") % 9 == 0, 1).otherwise(0), F.lit(4))
+    inbox = f"{shared_folder(spark)}/streams/inbox-{uuid.uuid4().hex}"
+    parts = cut_lineage(events.withColumn("part", part))
+    out = f"{shared_folder(spark)}/streams/late-{uuid.uuid4().hex}"
+    for k in range(5):
+        # one delivery is one batch
+        parts.where(F.col("part") == k).drop("part").write.mode("append").parquet(inbox)
+        in_time, late = runner.drain_in_time(runner.open_stream(spark, inbox), "late", "1 hour", out, f"{out}/progress")
+    counts = lambda df, name: df.groupBy("batch").agg(F.count(F.lit(1)).alias(name))
+    both = counts(in_time, "n_in_time").join(counts(late, "n_late"), "batch", "full")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select(F.col("batch").cast("int").alias("batch"), zero("n_in_time"), zero("n_late"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,43 @@ def test_late_rows_are_dropped_by_the_stream(spark, tmp_path):
     table = runner.drain(feeds.account_windows(runner.open_stream(spark, folder)), "w", out, progress)
     rows = table.collect()
     assert [(r["txns"], r["high_velocity"]) for r in rows] == [(5, True)]
+
+
+def test_cut_is_read_anew_for_each_batch(spark, tmp_path):
+    cuts, folder, out = (str(tmp_path / x) for x in ("cuts", "in", "out"))
+    feed = spark.createDataFrame([event(i, i, "PAYMENT") for i in range(4)], EVENT_SCHEMA)
+    work = lambda batch: feeds.score_events(batch, feeds.saved_high_value(spark, cuts))
+    seen = {}
+    for number, (low, high) in enumerate(((10.0, 500.0), (400.0, 500.0))):
+        # a cut at the only amount of its feed
+        feeds.save_high_value(feed.limit(1).withColumn("amount", F.lit(low)), cuts)
+        rows = feed.withColumns({"amount": F.lit(300.0), "event_id": F.col("event_id") + 10 * number})
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        table = runner.drain_batches(runner.open_stream(spark, folder), "cuts", work, out, f"{out}-progress")
+        seen = {r["event_id"]: r["suspicion_score"] for r in table.collect()}
+    assert [seen[i] for i in range(4)] == [30] * 4 and [seen[10 + i] for i in range(4)] == [0] * 4
+
+
+def test_late_rows_are_counted_in_a_side_table(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    deliveries = [[event(i, 60 * 48 + i, "PAYMENT") for i in range(5)], [event(9, 0, "PAYMENT"), event(10, 60 * 48 - 50, "PAYMENT")], [event(11, 60 * 48, "PAYMENT")]]
+    for rows in deliveries:
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        in_time, late = runner.drain_in_time(runner.open_stream(spark, folder), "late", "1 hour", out, f"{out}/progress")
+    assert sorted(r["event_id"] for r in in_time.collect()) == [0, 1, 2, 3, 4, 10, 11]
+    assert [(r["event_id"], r["batch"]) for r in late.collect()] == [(9, 1)]
+
+
+def test_chains_of_a_busy_account_over_many_stretches(spark):
+    rng = random.Random(4)
+    rows = [event(i, rng.randrange(0, 60 * 24 * 30), rng.choice(["TRANSFER", "CASH_OUT"])) for i in range(400)]
+    got = feeds.transfer_chains(spark.createDataFrame(rows, EVENT_SCHEMA))
+    pairs = sorted((r["in_id"], r["out_id"]) for r in got.collect())
+    at = {r[0]: r for r in rows}
+    ts, kind = 1, 2
+    hours6 = dt.timedelta(hours=6)
+    want = sorted(
+        (a[0], b[0]) for a in at.values() for b in at.values()
+        if a[kind] == "TRANSFER" and b[kind] == "CASH_OUT" and a[ts] <= b[ts] <= a[ts] + hours6
+    )
+    assert pairs == want and len(want) > 100

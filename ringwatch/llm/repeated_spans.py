@@ -6,18 +6,20 @@ every window selects the smallest hash among its runs of ANCHOR words, equal win
 runs, so a window whose run is selected nowhere else occurs once. Documents of the same words are
 one text from the start.
 
-Neighbouring windows with the same anchor travel as one chain of nodes; equal chains are one, so a
-passage that many documents share is counted by task before it is shuffled. The windows of
-distinct chains are the edges, with their first place in the corpus. Nodes with one repeated edge
-in and one out are passed through: a join on nodes compacts the edges into nonbranching paths,
-which also end where their first places do not follow each other, so that a path has one source.
-Paths go back to the chains, chains to the documents, and a span is removed where its place is not
-the source place of its path; a span at its source stays.
+Anchors and windows are compared in blocks of texts first. A block sends an anchor, or a window,
+that it has seen more than once only from its first place (and, of an anchor, its last), so a
+passage that many documents share has a row per block and not one per document; the other places in
+the block are known to repeat. One shuffle then finds the first place of every window.
+
+The first places of repeated windows are runs of edges in their documents. A join on nodes cuts
+them where more than one repeated edge leads in or out: what is left are nonbranching paths with
+one source each. The other places of a document that lie in step with their sources are spans; a
+join by source place lays them along the paths. Spans are removed, the source of a path stays.
 
 Edge cases: null and empty texts have no words. Texts shorter than a window are kept whole. The
 order of documents is that of doc_id, rows without one last; different texts of one doc_id are
 ordered by a digest of their words. Rows that repeat doc_id and words keep one of them. An empty
-table gives no rows; other columns are not read. A text may hold 2^27 words.
+table gives no rows; other columns are not read. A text may hold 2^26 words.
 """
 
 import hashlib
@@ -34,8 +36,11 @@ from ringwatch.session import cut_lineage
 
 WINDOW = 20
 ANCHOR = 8
-PLACE_BITS = 27
-BLOCK_GRAMS = 2_000_000
+PLACE_BITS = 26
+#: flags above the 61 bits of a place: the block holds more of this window; a later place in its block
+TWICE, LATER = 1 << 62, 1 << 61
+BLOCK_ROWS = 1_000_000
+BROADCAST_BYTES = 32_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -85,6 +90,11 @@ def text_key() -> Column:
     return F.xxhash64(F.lit(29), F.col("text"))
 
 
+def text_mark(key: Column | None = None) -> Column:
+    """The part of a text's key that leaves room for a place."""
+    return F.shiftrightunsigned(text_key() if key is None else key, PLACE_BITS + 1)
+
+
 def word_sequences(docs: DataFrame) -> DataFrame:
     """(row, doc_id, key, n_words, words_sha256): every row, named by number and by a hash of its text."""
 
@@ -114,175 +124,206 @@ def first_texts(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """(key, places): per text the places of anchors that are selected elsewhere too.
+    """(mark, places): places of anchors that are selected at other places too, per mark of a text.
 
-    A task counts the anchors of a block of texts by itself and sends each but once, with its
-    count, so an anchor that many documents share has one row for each block. All occurrences of an
-    anchor that the block has seen twice are sent under names of their own, known to be repeated.
+    A mark is short, so texts may share one; they then have places marked in vain. Equal texts have
+    the same mark and places and do not count as two.
     """
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordNames(), [], 0
 
         def block() -> pa.RecordBatch:
-            gram, key, place = (np.concatenate(x) for x in zip(*held))
-            name, first, inverse, n = np.unique(gram, return_index=True, return_inverse=True, return_counts=True)
-            again = n[inverse] > 1
-            own = again.copy()
-            own[first] = False
-            alone = runs(np.concatenate([gram[own], [0]]).astype(np.uint64) ^ (place[np.append(np.flatnonzero(own), 0)].astype(np.uint64) * _ODD), 1)[:-1]
-            gram = gram.copy()
-            gram[own] = alone ^ key[own].view(np.uint64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(again.astype(np.int32) + 1), pa.array(key), pa.array(place.astype(np.int32))], ["gram", "n", "key", "place"]
-            )
+            pairs = np.unique(np.concatenate(held), axis=0)  # by gram, then by code
+            gram, code = pairs[:, 0], pairs[:, 1]
+            start = np.append(True, gram[1:] != gram[:-1])
+            end = np.append(start[1:], True)
+            again = ~(start & end)
+            # the first and the last place speak for the block, all places of such a gram are known (a negative code)
+            name = np.concatenate([gram[start | end], runs((gram ^ code)[again], 1)])
+            both = np.concatenate([code[start | end], code[again] | np.uint64(1 << 63)])
+            return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(both.view(np.int64))], ["gram", "code"])
 
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
+            for mark, text in zip(batch.column("mark").to_pylist(), batch.column("text")):
                 words = words_of(text.as_py())
                 if len(words) < window:
                     continue
                 grams = runs(names_of(words, known), width)
                 places = np.unique(anchors(grams, window, width))
-                held.append((grams[places], np.full(len(places), key, dtype=np.int64), places))
+                held.append(np.column_stack([grams[places], np.uint64(mark << PLACE_BITS) | places.astype(np.uint64)]))
                 size += len(places)
-                if size >= BLOCK_GRAMS:
+                if size >= BLOCK_ROWS:
                     yield block()
                     held, size = [], 0
         if size:
             yield block()
 
-    found = docs.select(text_key().alias("key"), "text").mapInArrow(select, "gram long, n int, key long, place int")
-    found = found.withColumn("n", F.sum("n").over(Window.partitionBy("gram"))).where("n > 1")
-    return found.groupBy("key").agg(F.collect_set("place").alias("places"))
+    found = docs.select(text_mark().alias("mark"), "text").mapInArrow(select, "gram long, code long")
+    of_gram = Window.partitionBy("gram")
+    found = found.withColumn("n", F.max("code").over(of_gram) != F.min("code").over(of_gram)).where("code < 0 or n")
+    place = F.col("code").bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
+    mark = F.shiftright(F.col("code").bitwiseAND(2**63 - 1), PLACE_BITS)
+    return found.groupBy(mark.alias("mark")).agg(F.collect_set(place).alias("places"))
+
 
+def texts_with(docs: DataFrame, facts: DataFrame, listed: str, item_bytes: int) -> DataFrame:
+    """Facts (doc_id, key and others) with the texts they belong to.
 
-def texts_with(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Facts (doc_id, key and others) with the texts they belong to; only those texts are shuffled."""
-    keys = counted(facts.select("key").distinct())
-    texts = docs.select("doc_id", text_key().alias("key"), "text").join(keys, "key", "left_semi")
+    `facts` is a written table. It goes to the texts if its size, by the items it lists, is within the
+    bound; else the texts it names are shuffled to it.
+    """
+    size = facts.agg(F.sum(F.size(listed) * item_bytes + 64)).first()[0] or 0
+    texts = docs.select("doc_id", text_key().alias("key"), "text")
     named = facts.withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    if size <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    else:
+        texts = texts.join(counted(facts.select("key").distinct()), "key", "left_semi")
     return texts.join(named, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id", "_key")
 
 
-def chains(texts: DataFrame, window: int, width: int) -> DataFrame:
-    """(num, start, nodes): the windows that select a repeated anchor, neighbours of one anchor together."""
+def windows(texts: DataFrame, window: int, width: int) -> DataFrame:
+    """(u, v, place): the windows that select a repeated anchor, those of a block at their first place there,
+    flagged TWICE if the block holds more of them. These are flagged LATER, and u is the first place.
+    """
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordNames()
+        names_known, held, size = WordNames(), [], 0
 
-        def out(nums, starts, parts) -> pa.RecordBatch:
-            nodes = pa.array(parts, pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(nums, pa.int64()), pa.array(starts, pa.int64()), nodes], ["num", "start", "nodes"])
+        def block() -> pa.RecordBatch:
+            u, v, place = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((place, v, u))
+            u, v, place = u[order], v[order], place[order]
+            new = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+            first = place[np.flatnonzero(new)][np.cumsum(new) - 1]
+            again = ~new & (place != first)
+            keep = new | again
+            twice = new & (np.bincount(np.cumsum(new) - 1, weights=again) > 0)[np.cumsum(new) - 1]
+            u, v = np.where(again, first.astype(np.uint64), u), np.where(again, np.uint64(0), v)
+            place = place | np.where(twice, TWICE, 0) | np.where(again, LATER, 0)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep].view(np.int64)) for c in (u, v, place)], ["u", "v", "place"])
 
         for batch in batches:
-            nums, starts, parts, size = [], [], [], 0
             for num, text, places in zip(batch.column("num").to_pylist(), batch.column("text"), batch.column("places")):
-                names = names_of(words_of(text.as_py()), known)
+                names = names_of(words_of(text.as_py()), names_known)
                 marked = np.zeros(len(names) + 1, dtype=bool)
-                marked[places.values.to_numpy()] = True
-                anchor = anchors(runs(names, width), window, width)
-                at = np.flatnonzero(marked[anchor])
-                if not len(at):
-                    continue
-                nodes = runs(names, window - 1).view(np.int64)
-                cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(anchor[at]) != 0)) + 1
-                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-                    nums.append(num)
-                    starts.append(int(at[lo]))
-                    parts.append(nodes[at[lo] : at[hi - 1] + 2])
+                at = places.values.to_numpy()
+                marked[at[at < len(names)]] = True
+                at = np.flatnonzero(marked[anchors(runs(names, width), window, width)])
+                nodes = runs(names, window - 1)
+                held.append((nodes[at], nodes[at + 1], at + (num << PLACE_BITS)))
                 size += len(at)
-                if size > 500_000:
-                    yield out(nums, starts, parts)
-                    nums, starts, parts, size = [], [], [], 0
-            if nums:
-                yield out(nums, starts, parts)
-
-    return texts.select("num", "text", "places").mapInArrow(follow, "num long, start long, nodes array<long>")
-
+                if size >= BLOCK_ROWS:
+                    yield block()
+                    held, size = [], 0
+        if size:
+            yield block()
 
-def place_of(num: str, start: str) -> Column:
-    """Where a window starts, as one number in the order of the corpus."""
-    return F.shiftleft(F.col(num), PLACE_BITS) + F.col(start)
+    return texts.select("num", "text", "places").mapInArrow(follow, "u long, v long, place long")
 
 
-CHAIN = ["head", "tail", "length"]
+def repeated_windows(found: DataFrame) -> DataFrame:
+    """(place, a, b, kind): all places of windows that occur more than once. The first of all (kind 0) has its
+    nodes as a and b, the others have an earlier place as a: the first of all (1) or of their block (2)."""
+    of_window = Window.partitionBy("u", "v")
+    place, later = F.col("place").bitwiseAND(LATER - 1), F.col("place").bitwiseAND(LATER) != 0
+    first, last, flags = F.min("at").over(of_window), F.max("at").over(of_window), F.max("place").over(of_window)
+    marked = found.withColumns({"at": place, "later": later}).withColumns({"first": first, "again": (last > first) | (flags >= TWICE)})
+    kind = F.when(F.col("later"), 2).when(F.col("at") == F.col("first"), 0).otherwise(1)
+    return marked.where("later or again").select(
+        F.col("at").alias("place"), F.when(kind == 1, F.col("first")).otherwise(F.col("u")).alias("a"), F.when(kind == 0, F.col("v")).otherwise(F.lit(0)).alias("b"), kind.alias("kind")
+    )
 
 
-def distinct_chains(found: DataFrame) -> DataFrame:
-    """(head, tail, length, first, last, nodes): equal chains once, with their first and last place.
+def stretches(marked: DataFrame) -> DataFrame:
+    """(kind, place, n, source, nodes): neighbouring windows of one kind, a text at a time.
 
-    First and last node and length name a chain: a chain has at most window - anchor + 1 edges, so
-    the words of both nodes are all its words.
+    Later windows go together while their sources follow each other as they do; first windows are
+    runs of edges, kept as their n + 1 nodes.
     """
-    place = place_of("num", "start")
-    return found.groupBy(
-        F.element_at("nodes", 1).alias("head"), F.element_at("nodes", -1).alias("tail"), F.size("nodes").alias("length")
-    ).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("nodes").alias("nodes"))
-
-
-def edges_of(one_each: DataFrame) -> DataFrame:
-    """(u, v, place, last, head, tail, length, step): the windows of distinct chains."""
-    step = one_each.select(*CHAIN, "first", "last", F.posexplode(F.arrays_zip(F.slice("nodes", 1, F.size("nodes") - 1).alias("u"), F.slice("nodes", 2, F.size("nodes") - 1).alias("v"))).alias("step", "e"))
-    return step.select(F.col("e.u").alias("u"), F.col("e.v").alias("v"), (F.col("first") + F.col("step")).alias("place"), (F.col("last") + F.col("step")).alias("last"), *CHAIN, "step")
-
-
-def repeated_edges(edges: DataFrame) -> DataFrame:
-    """(u, v, first): the windows that occur more than once, with their first place."""
-    return edges.groupBy("u", "v").agg(F.min("place").alias("first"), F.max("last").alias("_last")).where("first < _last").drop("_last")
-
-
-def compact(repeated: DataFrame) -> DataFrame:
-    """(u, v, first, path): edges with the first place of the nonbranching path they lie on.
-
-    An edge goes on where its predecessor is the only repeated edge into its node, it is the only one
-    out of it, and their first places follow each other.
+    ordered = marked.withColumn("num", F.shiftright("place", PLACE_BITS)).repartition("num").sortWithinPartitions("num", "place", "kind").drop("num")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(place, a, b, kind) -> pa.RecordBatch:
+            # rows that repeat doc_id and text give a place twice
+            new = np.append(True, np.diff(place) != 0)
+            place, a, b, kind = place[new], a[new], b[new], kind[new]
+            step = (np.diff(place) == 1) & (np.diff(kind) == 0) & ((kind[1:] == 0) | (np.diff(a) == 1))
+            at = np.flatnonzero(np.append(True, ~step))
+            n = np.diff(np.append(at, len(place)))
+            first = kind[at] == 0
+            lengths = np.where(first, n + 1, 0)
+            ends = np.cumsum(lengths)
+            nodes = np.empty(int(lengths.sum()), dtype=np.int64)
+            own = kind == 0
+            run = np.repeat(np.arange(len(at)), n)[own]
+            nodes[(np.arange(len(place)) - np.repeat(at, n))[own] + (ends - lengths)[run]] = a[own]
+            nodes[ends[first] - 1] = b[(at + n - 1)[first]]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(nodes))
+            columns = [pa.array(kind[at]), pa.array(place[at]), pa.array(n), pa.array(np.where(first, place[at], a[at])), lists]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "place", "n", "source", "nodes"])
+
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = tuple(batch.column(c).to_numpy() for c in ("place", "a", "b", "kind"))
+            if rest is not None:
+                now = tuple(np.concatenate(x) for x in zip(rest, now))
+            text = now[0] >> PLACE_BITS
+            whole = int(np.searchsorted(text, text[-1]))
+            if whole:
+                yield out(*(x[:whole] for x in now))
+            rest = tuple(x[whole:] for x in now)
+        if rest is not None:
+            yield out(*rest)
+
+    return ordered.select("place", "a", "b", F.col("kind").cast("int").alias("kind")).mapInArrow(collect, "kind int, place long, n long, source long, nodes array<long>")
+
+
+def compact(runs_of_edges: DataFrame) -> DataFrame:
+    """(place, n): nonbranching paths of n repeated edges, at their first place.
+
+    `runs_of_edges` (place, nodes) holds every repeated edge once, at its first place. A path goes on
+    over a node if one repeated edge leads in and one out; it also ends where first places do.
     """
-    ends = repeated.select(F.col("u").alias("node"), F.lit(1).alias("n_out"), F.lit(0).alias("n_in"), F.lit(None).cast("long").alias("before")).unionByName(
-        repeated.select(F.col("v").alias("node"), F.lit(0).alias("n_out"), F.lit(1).alias("n_in"), F.col("first").alias("before"))
-    )
-    passed = ends.groupBy("node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"), F.max("before").alias("before"))
-    passed = passed.where("n_out = 1 and n_in = 1").select(F.col("node").alias("u"), "before")
-    goes_on = F.coalesce(F.col("before") + 1 == F.col("first"), F.lit(False))
-    whole = Window.partitionBy(F.shiftright("first", PLACE_BITS)).orderBy("first")
-    return repeated.join(passed, "u", "left").select(
-        "u", "v", "first", F.last(F.when(~goes_on, F.col("first")), ignorenulls=True).over(whole).alias("path")
-    )
-
-
-def sources_of_chains(edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """(head, tail, length, parts): per chain its stretches (step, n, source) on one path each, source being a place."""
-    on = edges.join(paths.withColumnsRenamed({"first": "source"}), ["u", "v"]).select(*CHAIN, "step", "source", "path")
-    listed = on.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(F.struct("step", "source", "path"))).alias("on"))
-    empty = F.array().cast("array<struct<step:int,n:int,source:bigint,path:bigint>>")
-    new = lambda x: F.struct(x["step"].alias("step"), F.lit(1).alias("n"), x["source"].alias("source"), x["path"].alias("path"))
-
-    def add(parts: Column, x: Column) -> Column:
-        end = F.element_at(parts, -1)
-        follows = (F.size(parts) > 0) & (end["path"] == x["path"]) & (end["step"] + end["n"] == x["step"]) & (end["source"] + end["n"] == x["source"])
-        longer = F.struct(end["step"].alias("step"), (end["n"] + 1).alias("n"), end["source"].alias("source"), end["path"].alias("path"))
-        return F.when(follows, F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(parts, F.array(new(x))))
-
-    return listed.select(*CHAIN, F.aggregate("on", empty, add).alias("parts"))
-
-
-def spans(found: DataFrame, sources: DataFrame) -> DataFrame:
-    """(num, start, n, source): stretches of n windows whose words also start earlier, at `source`."""
-    key = {"head": F.element_at("nodes", 1), "tail": F.element_at("nodes", -1), "length": F.size("nodes")}
-    own = found.select("num", "start", *[c.alias(name) for name, c in key.items()])
-    part = own.join(sources, CHAIN).select("num", "start", F.explode("parts").alias("p"))
-    at = part.select("num", (F.col("start") + F.col("p.step")).alias("start"), F.col("p.n").alias("n"), F.col("p.source").alias("source"))
-    return at.where(place_of("num", "start") != F.col("source"))
+    last = F.size("nodes") - 1
+    each = runs_of_edges.select("place", last.alias("last"), F.posexplode("nodes").alias("i", "node"))
+    degrees = each.groupBy("node").agg(F.count_if(F.col("i") > 0).alias("n_in"), F.count_if(F.col("i") < F.col("last")).alias("n_out"))
+    branching = degrees.where("n_in > 1 or n_out > 1").select("node")
+    cuts = each.where("i > 0 and i < last").join(branching, "node").groupBy("place").agg(F.array_sort(F.collect_set("i")).alias("cuts"))
+    none = F.array().cast("array<int>")
+    ends = F.concat(F.array(F.lit(0)), F.coalesce("cuts", none), F.array(last))
+    parts = runs_of_edges.join(cuts, "place", "left").select("place", ends.alias("ends"))
+    part = F.explode(F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.slice("ends", 2, F.size("ends") - 1), lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))))
+    return parts.select("place", part.alias("p")).select((F.col("place") + F.col("p.lo")).alias("place"), (F.col("p.hi") - F.col("p.lo")).cast("long").alias("n"))
+
+
+def on_paths(spans: DataFrame, paths: DataFrame) -> DataFrame:
+    """(place, n, source): spans cut at the ends of the paths that their sources lie on.
+
+    Both are listed under stretches of 1,024 places; an overlap counts under the one it begins in.
+    """
+    bucket = lambda c: F.explode(F.sequence(F.shiftright(c, 10), F.shiftright(F.col(c) + F.col("n") - 1, 10)))
+    left = spans.select("place", "n", "source", bucket("source").alias("bucket"))
+    right = paths.select(F.col("place").alias("path"), F.col("n").alias("length"), bucket("place").alias("bucket"))
+    lo, hi = F.greatest("source", "path"), F.least(F.col("source") + F.col("n"), F.col("path") + F.col("length"))
+    met = left.join(right, "bucket").where((lo < hi) & (F.shiftright(lo, 10) == F.col("bucket")))
+    return met.select((F.col("place") + lo - F.col("source")).alias("place"), (hi - lo).alias("n"), lo.alias("source"))
 
 
-def found_spans(docs: DataFrame, rows: DataFrame, firsts: DataFrame, window: int, width: int) -> DataFrame:
+def found_spans(docs: DataFrame, firsts: DataFrame, window: int, width: int) -> DataFrame:
     """(num, at): per text that has any the sorted stretches (start, n, source) to remove."""
-    marks = firsts.select("num", "doc_id", "key").join(repeated_anchors(docs, window, width), "key")
-    found = cut_lineage(chains(texts_with(docs, cut_lineage(marks)), window, width))
-    edges = edges_of(cut_lineage(distinct_chains(found)))
-    paths = compact(cut_lineage(repeated_edges(edges)))
-    removed = spans(found, cut_lineage(sources_of_chains(edges, paths)))
-    return cut_lineage(removed.groupBy("num").agg(F.array_sort(F.collect_set(F.struct("start", "n", "source"))).alias("at")))
+    named = firsts.select("num", "doc_id", "key", text_mark(F.col("key")).alias("mark"))
+    marks = cut_lineage(named.join(repeated_anchors(docs, window, width), "mark").drop("mark"))
+    found = cut_lineage(stretches(repeated_windows(windows(texts_with(docs, marks, "places", 4), window, width))))
+    paths = compact(found.where("kind = 0").select("place", "nodes"))
+    # the first place in a block is no source of a path, but an earlier place of the same words
+    spans = on_paths(found.where("kind = 1"), paths).unionByName(found.where("kind = 2").select("place", "n", "source"))
+    num = F.shiftright("place", PLACE_BITS)
+    one = F.struct((F.col("place") - F.shiftleft(num, PLACE_BITS)).alias("start"), "n", "source")
+    return cut_lineage(spans.groupBy(num.alias("num")).agg(F.array_sort(F.collect_list(one)).alias("at")))
 
 
 def cut_texts(texts: DataFrame, window: int) -> DataFrame:
@@ -312,7 +353,7 @@ def prepared(docs: DataFrame, window: int, width: int) -> tuple[DataFrame, DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = word_sequences(docs)
     firsts = first_texts(rows, window)
-    return docs, rows, firsts, found_spans(docs, rows, firsts, window, width)
+    return docs, rows, firsts, found_spans(docs, firsts, window, width)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR) -> DataFrame:
@@ -334,7 +375,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, width: int = ANCHOR)
     """Per row: doc_id, n_words, n_removed, kept_sha256 of the words kept, joined by one space."""
     docs, rows, firsts, found = prepared(docs, window, width)
     marked = found.join(firsts.select("num", "doc_id", "key"), "num")
-    parts = cut_texts(texts_with(docs, cut_lineage(marked)), window).select("num", "n_removed", "kept_sha256")
+    parts = cut_texts(texts_with(docs, cut_lineage(marked), "at", 40), window).select("num", "n_removed", "kept_sha256")
     # rows that repeat doc_id and text are cut alike, and one of them is the first
     parts = parts.dropDuplicates(["num"])
     named = cut_lineage(firsts.select("words_sha256", "num", F.col("row").alias("first_row")).join(parts, "num", "left"))

@@ -56,8 +56,10 @@ def texts(rng):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_spans_equal_all_windows(spark, seed):
+@pytest.mark.parametrize("seed, block", [(1, 1_000_000), (2, 300)])
+def test_spans_equal_all_windows(spark, seed, block, monkeypatch):
+    monkeypatch.setattr(rs, "BLOCK_ROWS", block)
+    monkeypatch.setattr(rs, "BROADCAST_BYTES", 0 if block == 300 else rs.BROADCAST_BYTES)
     rng = random.Random(seed)
     found = texts(rng)
     rows = [(i * 7 % 1000, t) for i, t in enumerate(found)]
@@ -94,10 +96,11 @@ def test_long_passages_are_one_path(spark):
     rows = [(i, f"own{i} " * 25 + passage + f" end{i}" * 25) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
     docs, _, firsts, _ = rs.prepared(df, 20, 8)
-    marks = firsts.select("num", "doc_id", "key").join(rs.repeated_anchors(docs, 20, 8), "key")
-    edges = rs.edges_of(rs.distinct_chains(rs.chains(rs.texts_with(docs, marks), 20, 8)))
-    paths = rs.compact(rs.repeated_edges(edges)).groupBy("path").count().collect()
-    assert max(r["count"] for r in paths) == 181
+    named = firsts.select("num", "doc_id", "key", rs.text_mark(F.col("key")).alias("mark"))
+    marks = named.join(rs.repeated_anchors(docs, 20, 8), "mark").drop("mark")
+    found = rs.stretches(rs.repeated_windows(rs.windows(rs.texts_with(docs, marks, "places", 4), 20, 8)))
+    paths = rs.compact(found.where("kind = 0").select("place", "nodes")).collect()
+    assert max(r["n"] for r in paths) == 181
     listed = rs.repeated_spans(df).where("source_doc_id <> doc_id").groupBy("doc_id").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n_words")).alias("e")).collect()
     assert len(listed) == 39 and all((r["s"], r["e"]) == (25, 225) for r in listed)
 

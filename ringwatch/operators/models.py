@@ -6,10 +6,12 @@ number is fixed by the caller.
 """
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringwatch.functions.hashing import uniform
+from ringwatch.operators.bagged import Bags, out_of_bag_scores
 from ringwatch.operators.longform import to_long
 from ringwatch.operators.metrics import rank_metrics
 from ringwatch.operators.splits import stratified_folds
@@ -94,6 +96,14 @@ def score(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame
     return probability(model.transform(rows))
 
 
+def side_by_side(tasks: list[Callable[[], object]], at_once: int = 4) -> list:
+    """Results of tasks that each run Spark jobs of their own, some at a time, so that the small last
+    stages of one fit leave no core idle."""
+    with ThreadPoolExecutor(min(at_once, max(len(tasks), 1))) as pool:
+        running = [pool.submit(inheritable_thread_target(t)) for t in tasks]
+        return [r.result() for r in running]
+
+
 def out_of_fold(
     folded: DataFrame, features: list[str], learner: Callable[[], Estimator], k: int, scale: bool = False,
     calibrate: bool = False,
@@ -103,15 +113,15 @@ def out_of_fold(
     The dealt rows are written once; every fit reads that table.
     """
     folded = cut_lineage(folded)
-    out = None
-    for i in range(k):
+
+    def one(i: int) -> DataFrame:
         train, test = folded.where(F.col("fold") != i), folded.where(F.col("fold") == i)
         if calibrate:
-            part = Calibrated.fit(train.drop("fold"), features, learner, scale=scale).score(test)
-        else:
-            part = score(fit(train, features, learner(), scale), test, features)
-        out = part if out is None else out.unionByName(part)
-    return out
+            return Calibrated.fit(train.drop("fold"), features, learner, scale=scale).score(test)
+        return score(fit(train, features, learner(), scale), test, features)
+
+    parts = side_by_side([partial(one, i) for i in range(k)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 class Calibrated:
@@ -169,13 +179,12 @@ def compare_models(
     folded: DataFrame, features: list[str], learners: dict[str, tuple[Callable[[], Estimator], bool]], k: int
 ) -> DataFrame:
     """Metrics per model and fold over the same folds; the flag of a learner asks for scaling."""
-    out = None
-    for name, (learner, scale) in learners.items():
-        part = out_of_fold(folded, features, learner, k, scale).select(
-            F.lit(name).alias("model"), "fold", LABEL, SCORE
-        )
-        out = part if out is None else out.unionByName(part)
-    return rank_metrics(out, ["model", "fold"])
+    folded = cut_lineage(folded)
+    parts = [
+        out_of_fold(folded, features, learner, k, scale).select(F.lit(name).alias("model"), "fold", LABEL, SCORE)
+        for name, (learner, scale) in learners.items()
+    ]
+    return rank_metrics(reduce(DataFrame.unionByName, parts), ["model", "fold"])
 
 
 def mean_ensemble(scores: DataFrame, identity: str, score: str = SCORE) -> DataFrame:
@@ -202,17 +211,24 @@ def random_search(
     import random
 
     rng = random.Random(seed)
-    out = None
-    for i in range(draws):
-        setting = {
+    folded = cut_lineage(folded)
+    chosen = [
+        {
             "rounds": rng.randint(20, 60),
             "depth": rng.randint(3, 6),
             "step": round(rng.uniform(0.03, 0.2), 3),
             "subsample": round(rng.uniform(0.6, 1.0), 3),
         }
-        part = out_of_fold(folded, features, lambda s=setting: boosted_trees(**s), k).select(LABEL, SCORE)
-        part = part.withColumns({"draw": F.lit(i), **{n: F.lit(v) for n, v in setting.items()}})
-        out = part if out is None else out.unionByName(part)
+        for _ in range(draws)
+    ]
+
+    def one(draw: int, fold: int) -> DataFrame:
+        setting = chosen[draw]
+        train, test = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+        part = score(fit(train, features, boosted_trees(**setting)), test, features).select(LABEL, SCORE)
+        return part.withColumns({"draw": F.lit(draw), **{n: F.lit(v) for n, v in setting.items()}})
+
+    out = reduce(DataFrame.unionByName, side_by_side([partial(one, d, f) for d in range(draws) for f in range(k)]))
     settings = ["draw", "rounds", "depth", "step", "subsample"]
     return rank_metrics(out, settings).select(*settings, "average_precision", "roc_auc")
 
@@ -224,32 +240,16 @@ def feature_importance(model: PipelineModel, features: list[str]) -> list[tuple[
 
 
 def bagged_unlabelled(
-    df: DataFrame, features: list[str], bags: int = 10, depth: int = 8, seed: int = 42, identity: str = "account_id"
+    df: DataFrame, features: list[str], bags: int = 50, depth: int = 8, seed: int = 42, identity: str = "account_id"
 ) -> DataFrame:
     """Positive-unlabelled bagging: every row gets the mean score of the bags it was not in.
 
     A bag holds a random four fifths of the positives and about as many negatives, so positives
     too are scored by trees that never saw them. Each row has one bag it never joins, so no row
-    is left without a score.
+    is left without a score. All bags grow together, a level at a time.
     """
     ratio = 1.0 / max(positive_weight(df), 1.0)
-    rows = cut_lineage(as_doubles(df, features))
-    home = F.floor(uniform(f"{seed}home", identity) * bags)
-    out = None
-    for b in range(bags):
-        u = uniform(f"{seed}b{b}", identity)
-        inside = F.when(F.col(LABEL) == 1, u < 0.8).otherwise(u < 0.8 * ratio) & (home != b)
-        marked = rows.withColumn("_inside", inside)
-        train = marked.where("_inside").drop("_inside").withColumn(WEIGHT, F.lit(1.0))
-        tree = DecisionTreeClassifier(
-            labelCol=LABEL, featuresCol=FEATURES, weightCol=WEIGHT, maxDepth=depth, seed=seed + b
-        )
-        model = pipeline(features, tree).fit(train)
-        part = score(model, marked.where("not _inside").drop("_inside"), features).select(identity, LABEL, SCORE)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(identity).agg(
-        F.max(LABEL).cast("int").alias(LABEL), F.avg(SCORE).alias(SCORE), F.count(F.lit(1)).alias("n_bags")
-    )
+    return out_of_bag_scores(df, features, Bags(bags, ratio, seed), depth, LABEL, identity, SCORE)
 
 
 def typology_clusters(

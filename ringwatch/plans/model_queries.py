@@ -67,7 +67,7 @@ def stacked_scores(spark, sf):
 
 @query("random_search")
 def random_search(spark, sf):
-    return L.random_search(_folded(spark, sf, 2), FEATURES, 2, draws=2)
+    return L.random_search(_folded(spark, sf, 2), FEATURES, 2)
 
 
 @query("feature_importance")
@@ -188,7 +188,7 @@ def missed_in_anomaly(spark, sf):
 
 @query("bagged_unlabelled")
 def bagged_unlabelled(spark, sf):
-    return L.bagged_unlabelled(_rows(spark, sf), FEATURES, bags=4)
+    return L.bagged_unlabelled(_rows(spark, sf), FEATURES)
 
 
 @query("robustness")

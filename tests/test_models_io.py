@@ -79,6 +79,42 @@ def test_bagging_scores_all_rows(rows):
     assert out.count() == 600 and M.rank_metrics(out, []).first()["roc_auc"] > 0.75
 
 
+def test_bags_grow_like_a_plain_tree(spark):
+    from ringwatch.operators import bagged
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 20, size=(900, 3)).astype(float)
+    y = ((x[:, 0] > 11) & (x[:, 1] < 7) | (rng.random(900) < 0.05)).astype(int)
+    df = spark.createDataFrame([(i, int(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x))], "account_id int, label int, a double, b double, c double")
+    rows = bagged.binned(df, ["a", "b", "c"], "label", "account_id")
+    bags = bagged.Bags(3, 0.5, 7)
+    trees = bagged.grow(rows.repartition(5), bags, 3, "label", 3)
+    table = rows.orderBy("account_id").toPandas()
+    bins, names, label = table[["b0", "b1", "b2"]].to_numpy(), table["name"].to_numpy().view(np.uint64), table["label"].to_numpy()
+
+    def plain(at, depth):
+        """Leaf values of the rows `at` by the best cuts found by trying all."""
+        best, n, p = (1e-12, None), len(at), label[at].sum()
+        spread = lambda part: 2.0 * label[part].sum() * (len(part) - label[part].sum()) / len(part)
+        for f in range(3):
+            for cut in range(32):
+                left, right = at[bins[at, f] <= cut], at[bins[at, f] > cut]
+                if len(left) and len(right):
+                    gain = spread(at) - spread(left) - spread(right)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (left, right))
+        if depth == 3 or best[1] is None:
+            return {int(i): p / n for i in at}
+        return plain(best[1][0], depth + 1) | plain(best[1][1], depth + 1)
+
+    for bag in range(3):
+        held = np.flatnonzero(bags.held(names, label, bag))
+        assert 0.45 < label[held].sum() / label.sum() < 0.65  # four fifths of two thirds
+        want = plain(held, 0)
+        got = trees.value[bag, trees.walk(bag, bins[held], 3)]
+        assert got == pytest.approx([want[int(i)] for i in held])
+
+
 def test_isolation_forest_finds_outliers(spark):
     rng = np.random.default_rng(1)
     pts = np.vstack([rng.normal(size=(400, 2)), [[9.0, 9.0], [-8.0, 9.0]]])

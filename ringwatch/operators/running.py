@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from ringwatch.functions.hashing import digest
 from ringwatch.functions.numbers import value_bin
-from ringwatch.operators.skew import join_counted
+from ringwatch.operators.skew import BROADCAST_MAX_ROWS, join_counted
 from ringwatch.session import cut_lineage
 
 _ALL = "_all"
+#: rows up to which a bin is sorted as it is; ranges a larger one is split into; splits that use up a double's digits
+SMALL_BIN, SPLITS, MAX_SPLITS = 1_000_000, 4096, 3
 
 
 def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -111,11 +113,43 @@ def quantile_columns(value: str, n: str, before: str, total: str, quantiles: dic
     return out
 
 
-def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys: list[str] | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per key, nulls left out, in two passes over one column.
+def _bins_at_ranks(bins: DataFrame, keyed: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """The bins (with `_off_c`, `_end` and `c_total`) that hold a wanted rank."""
+    wanted = F.lit(False)
+    for q in quantiles.values():
+        low, _ = rank_parts(q, F.col("c_total"))
+        for rank in (low, F.least(low + 1, F.col("c_total") - 1)):
+            wanted = wanted | ((F.col("_off_c") <= rank) & (rank < F.col("_end")))
+    return cut_lineage(bins.where(wanted).select(*keyed, "_bin", "_off_c", "_end", "c_total"))
+
+
+def _split_bins(rows: DataFrame, bins: DataFrame, keyed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of wanted bins in SPLITS equal ranges each, between the lowest and highest value of the bin,
+    and the counts of these finer bins."""
+    at = [*keyed, "_bin"]
+    inside = join_counted(rows, bins, at)
+    ends = inside.groupBy(*at).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * SPLITS), F.lit(SPLITS - 1))).otherwise(F.lit(0)).cast("bigint")
+    finer = join_counted(inside.select(*at, "_v"), ends, at).select(*keyed, "_bin", (F.col("_bin") * SPLITS + part).alias("_part"), "_v")
+    counts = finer.groupBy(*at, "_part").agg(F.count(F.lit(1)).alias("_c")).join(bins, at)
+    upto = Window.partitionBy(*at).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.col("_off_c") + F.sum("_c").over(upto)
+    counts = counts.withColumn("_to", end).select(
+        *keyed, F.col("_part").alias("_bin"), (F.col("_to") - F.col("_c")).alias("_off_c"), F.col("_to").alias("_end"), "c_total"
+    )
+    return finer.select(*keyed, F.col("_part").alias("_bin"), "_v"), counts
+
 
-    The first pass counts order-keeping bins. The second keeps only the bins that hold a
-    wanted rank and counts their distinct values, so the full column is never shuffled.
+def exact_quantiles(
+    df: DataFrame, value: str, quantiles: dict[str, float], keys: list[str] | None = None, small_bin: int = SMALL_BIN
+) -> DataFrame:
+    """Linear-interpolated quantiles per key, nulls left out, by narrowing the ranges that hold their ranks.
+
+    The first pass counts order-keeping bins, by magnitude. Bins that hold a wanted rank and more
+    rows than `small_bin` (a column of a narrow relative range, such as times) are split into equal
+    ranges and counted again, until they are small or the numbers have no digits left. Only the
+    distinct values of the last bins are sorted, so the full column is never shuffled.
     The wanted bins (at most two per quantile and key) are written and counted at once.
     """
     keys = keys or []
@@ -124,14 +158,17 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], keys
     rows = rows.withColumn("_bin", value_bin(F.col("_v")))
     bins = _offsets(rows.withColumn("_one", F.lit(1)), keyed, {"c": F.sum("_one")})
     ends = F.lead("_off_c").over(Window.partitionBy(*keyed).orderBy("_bin"))
-    wanted = F.lit(False)
-    for q in quantiles.values():
-        low, _ = rank_parts(q, F.col("c_total"))
-        for rank in (low, F.least(low + 1, F.col("c_total") - 1)):
-            wanted = wanted | ((F.col("_off_c") <= rank) & (rank < F.col("_end")))
-    bins = bins.withColumn("_end", F.coalesce(ends, F.col("c_total"))).where(wanted)
+    bins = _bins_at_ranks(bins.withColumn("_end", F.coalesce(ends, F.col("c_total"))), keyed, quantiles)
+    size = F.struct(F.max(F.col("_end") - F.col("_off_c")).alias("largest"), F.count(F.lit(1)).alias("n"))
+    for k in range(MAX_SPLITS + 1):
+        seen = bins.agg(size.alias("s")).first()["s"]
+        if (seen["largest"] or 0) <= small_bin or k == MAX_SPLITS:
+            break
+        rows, counts = _split_bins(rows, bins, keyed)
+        bins = _bins_at_ranks(counts, keyed, quantiles)
+    few = bins.drop("_end")
     hist = (
-        join_counted(rows, bins, [*keyed, "_bin"])
+        rows.join(F.broadcast(few) if seen["n"] <= BROADCAST_MAX_ROWS else few, [*keyed, "_bin"])
         .groupBy(*keyed, "_bin", "_v", "_off_c", "c_total")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -162,6 +162,31 @@ def test_binned_bootstrap_agrees_with_row_bootstrap(spark):
     assert again["mean"] == pytest.approx(b["mean"])
 
 
+@pytest.mark.parametrize("shape", ["times", "mixed", "ties", "infinite"])
+def test_quantiles_of_narrow_columns_are_split(spark, shape, monkeypatch):
+    from ringwatch.operators import running
+
+    rng = np.random.default_rng(8)
+    n = 4_000
+    values = {
+        "times": 1.7e12 + rng.integers(0, 86_400_000, n),
+        "mixed": np.concatenate([rng.normal(size=n // 2) * 1e-8 + 5, -rng.pareto(1, n // 2)]),
+        "ties": np.where(rng.random(n) < 0.7, 1e9, 1e9 + rng.integers(0, 50, n)),
+        "infinite": np.concatenate([rng.normal(size=n - 2), [1e300, -1e300]]),
+    }[shape].astype(float)
+    key = rng.integers(0, 2, n)
+    df = spark.createDataFrame([(int(k), float(v)) for k, v in zip(key, values)], "k int, v double")
+    sizes = []
+    monkeypatch.setattr(running, "join_counted", lambda rows, small, on, join=running.join_counted: sizes.append(small.columns) or join(rows, small, on))
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.94, "e": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(df, "v", wanted, ["k"], small_bin=30).collect()}
+    for k in (0, 1):
+        for name, q in wanted.items():
+            assert got[k][name] == pytest.approx(np.quantile(values[key == k], q), rel=1e-12, abs=1e-12)
+    if shape == "times":
+        assert len(sizes) > 1  # it was split at least once
+
+
 @pytest.mark.parametrize("mean", [0, 1, 3, 20, 21, 400, 30_000])
 def test_poisson_draws_have_their_distribution(spark, mean):
     from ringwatch.functions.hashing import poisson, uniform

@@ -1,21 +1,24 @@
 """Find documents that hold benchmark items, with BM25 and block-max WAND.
 
-The test items are indexed: for every term a posting list of items with its BM25 weight, divided
-by the weight that the item gives itself, so one threshold serves all items. Postings are cut in
-blocks of items, and the largest weight of each block is kept per term.
-
-Every passage (a window of words, overlapping the next by half) of every document is a query. A
-passage whose terms' largest weights add up to less than the threshold is passed over; then the
-same with the largest weights of each block; only items of blocks that may reach the threshold
-are scored. Nothing above the threshold is lost. Hits are verified: the question (first half of
-the item's words) and the answer (second half) must both share the given part of their word
-shingles with the document.
-
-Items are taken in indexes of at most `INDEX_ITEMS`, cut by size before one is sent to the tasks,
-and documents are scanned once per index; document frequencies are those of all items together.
-
-Edge cases: items without words are no items; items of fewer words than a shingle are one
-shingle, question and answer at once. Documents without text hold nothing. Repeated items are
+The question (first half of an item's words) and the answer (second half), each cut into pieces of
+at most PIECE words, are the entries of an index: for every term a posting list of entries with
+its BM25 weight, divided by the weight that the entry gives itself, so one threshold serves entries
+of all lengths. Postings are cut in blocks of entries, and the largest weight of each block is
+kept per term.
+
+Every passage (a window of words, twice as long as a piece and overlapping the next by half, so any
+piece lies whole in one) of every document is a query. A passage whose terms' largest weights add
+up to less than the threshold is passed over; then the same with the largest weights of each
+block; only entries of blocks that may reach the threshold are scored. Nothing above the
+threshold is lost. An item is retrieved when a piece of its question and one of its answer are,
+in whatever passages of the document. Hits are verified on the whole document: question and
+answer must both share the given part of their word shingles with it.
+
+One index holds all items up to INDEX_WORDS words, its bound as it goes to the tasks; documents are
+scanned once for each such index. Document frequencies are those of all items together.
+
+Edge cases: items without words are no items; an item of fewer than two shingles' words is one
+entry, question and answer at once. Documents without text hold nothing. Repeated items are
 items of their own. Rows of documents are told apart by content (doc_id and text).
 """
 
@@ -38,9 +41,9 @@ RETRIEVE = 0.5
 PASSAGE = 128
 BLOCK = 8
 K1, B = 1.2, 0.75
-INDEX_ITEMS = 2_000
-WINDOWS = 1_024
-INDEX_WORDS = 2_000_000
+PIECE = PASSAGE // 2
+INDEX_WORDS = 1_000_000
+CELLS = 500_000
 
 
 def parts_of(words: list[bytes], width: int) -> list[set[bytes]]:
@@ -50,12 +53,22 @@ def parts_of(words: list[bytes], width: int) -> list[set[bytes]]:
     return [cut(words[:half]), cut(words[half:])] if half >= width else [cut(words)] * 2
 
 
+def entries_of(words: list[bytes], width: int, piece: int = PIECE) -> list[tuple[int, list[bytes]]]:
+    """The pieces of question (side 1) and answer (side 2); both sides at once (3) if they are too short to part."""
+    half = len(words) // 2
+    sides = [(1, words[:half]), (2, words[half:])] if half >= width else [(3, words)]
+    out = []
+    for side, own in sides:
+        n = -(-len(own) // piece)
+        out += [(side, own[len(own) * k // n : len(own) * (k + 1) // n]) for k in range(n)]
+    return out
+
+
 class Index:
-    """BM25 weights of one run of items: term maxima, block maxima and postings, all relative to the item's own score."""
+    """BM25 weights of entries: term maxima, block maxima and postings, all relative to the entry's own score."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], df: dict[bytes, int], n_items: int, mean_words: float, width: int):
         self.ids = [i for i, _ in items]
-        self.parts = [parts_of(w, width) for _, w in items]
         self.n_blocks = -(-len(items) // BLOCK)
         self.terms: dict[bytes, int] = {}
         postings: list[list[tuple[int, float]]] = []
@@ -89,7 +102,7 @@ class Index:
         return which, np.arange(len(which)) + np.repeat(start[terms] - np.cumsum(size) + size, size)
 
     def retrieve(self, window: np.ndarray, term: np.ndarray, n: int, least: float) -> set[int]:
-        """Items whose score against one of `n` passages, given as distinct (window, term), reaches `least`."""
+        """Entries whose score against one of `n` passages, given as distinct (window, term), reaches `least`."""
         # a passage whose terms' largest weights do not reach the threshold needs no further look
         wide = np.bincount(window, weights=self.term_top[term], minlength=n) >= least
         window, term = window[wide[window]], term[wide[window]]
@@ -106,7 +119,7 @@ class Index:
         return set((pair[score >= least] % len(self.ids)).tolist())
 
     def search(self, words: list[bytes], passage: int, least: float) -> set[int]:
-        """Items that some passage of a document retrieves."""
+        """Entries that some passage of a document retrieves."""
         found = np.fromiter(map(self.terms.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
         at = np.flatnonzero(found >= 0)
         if not len(at):
@@ -119,14 +132,39 @@ class Index:
         pair = np.unique(window * len(self.term_top) + np.concatenate([term, term]))
         window, term = pair // len(self.term_top), pair % len(self.term_top)
         out: set[int] = set()
-        cuts = [*np.searchsorted(window, np.arange(0, n, WINDOWS)).tolist(), len(window)]
+        # passages that cannot reach the threshold make no cells
+        wide = np.bincount(window, weights=self.term_top[term], minlength=n) >= least
+        term, window = term[wide[window]], (np.cumsum(wide) - 1)[window[wide[window]]]
+        n, some = int(wide.sum()), max(CELLS // self.n_blocks, 1)
+        cuts = [*np.searchsorted(window, np.arange(0, n, some)).tolist(), len(window)]
         for k, (lo, hi) in enumerate(itertools.pairwise(cuts)):
             if lo < hi:
-                out |= self.retrieve(window[lo:hi] - k * WINDOWS, term[lo:hi], min(WINDOWS, n - k * WINDOWS), least)
+                out |= self.retrieve(window[lo:hi] - k * some, term[lo:hi], min(some, n - k * some), least)
         return out
 
-    def verify(self, words: list[bytes], item: int, width: int) -> list[float]:
+
+class Items:
+    """The index of the pieces of items, and what verifies a hit."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], df: dict[bytes, int], n_items: int, mean_words: float, width: int):
+        self.ids, self.words, self.width = [i for i, _ in items], [w for _, w in items], width
+        entries = [(k, side, piece) for k, (_, w) in enumerate(items) for side, piece in entries_of(w, width)]
+        self.index = Index([(k, piece) for k, _, piece in entries], df, n_items, mean_words, width)
+        self.side = [side for _, side, _ in entries]
+        self.parts: dict[int, list[set[bytes]]] = {}
+
+    def search(self, words: list[bytes], passage: int, least: float) -> list[int]:
+        """Items of which the passages retrieve a piece of either side."""
+        sides: dict[int, int] = {}
+        for entry in self.index.search(words, passage, least):
+            item = self.index.ids[entry]
+            sides[item] = sides.get(item, 0) | self.side[entry]
+        return sorted(item for item, both in sides.items() if both == 3)
+
+    def verify(self, words: list[bytes], item: int) -> list[float]:
         """The shares of the question's and the answer's shingles that the document has."""
+        if item not in self.parts:
+            self.parts[item] = parts_of(self.words[item], self.width)
         wanted = self.parts[item][0] | self.parts[item][1]
         size = max(len(next(iter(wanted)).split()), 1)
         first = {s.split(b" ", 1)[0] for s in wanted}
@@ -145,13 +183,13 @@ def item_words(items: DataFrame) -> DataFrame:
     return with_missing(items, item_id="long", text="string").select(F.col("item_id").cast("long").alias("item_id"), words.alias("words")).where("size(words) > 0")
 
 
-def indexes(items: DataFrame, width: int) -> Iterator[Index]:
+def indexes(items: DataFrame, width: int) -> Iterator[Items]:
     """Indexes of bounded size over all items, one after the other."""
     whole = cut_lineage(item_words(items).withColumn("n", F.size("words").cast("long")))
     total = whole.agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).first()
     if not total["items"]:
         return
-    runs = max(-(-total["items"] // INDEX_ITEMS), -(-total["words"] // INDEX_WORDS))
+    runs = -(-total["words"] // INDEX_WORDS)
     mean = total["words"] / total["items"]
     for run in range(runs):
         own = whole.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(runs)) == run)
@@ -161,10 +199,10 @@ def indexes(items: DataFrame, width: int) -> Iterator[Index]:
         if rows:
             terms = own.select(F.explode(F.array_distinct("words")).alias("t")).distinct()
             df = whole.select(F.explode(F.array_distinct("words")).alias("t")).join(terms, "t", "left_semi").groupBy("t").count()
-            yield Index(rows, {r["t"].encode(): r["count"] for r in df.collect()}, total["items"], mean, width)
+            yield Items(rows, {r["t"].encode(): r["count"] for r in df.collect()}, total["items"], mean, width)
 
 
-def search_documents(docs: DataFrame, index: Index, passage: int, least: float, overlap: float, width: int) -> DataFrame:
+def search_documents(docs: DataFrame, index: Items, passage: int, least: float, overlap: float) -> DataFrame:
     """(_k1, _k2, doc_id, item_id, question, answer): verified hits of one index."""
     schema = pa.schema(
         [("_k1", pa.int64()), ("_k2", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("question", pa.float64()), ("answer", pa.float64())]
@@ -177,8 +215,8 @@ def search_documents(docs: DataFrame, index: Index, passage: int, least: float,
             rows, item, question, answer = [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 words = words_of(text.as_py())
-                for hit in sorted(index.search(words, passage, least)) if words else ():
-                    q, a = index.verify(words, hit, width)
+                for hit in index.search(words, passage, least) if words else ():
+                    q, a = index.verify(words, hit)
                     if q >= overlap and a >= overlap:
                         rows.append(i)
                         item.append(index.ids[hit])
@@ -205,7 +243,7 @@ def contaminated(
     docs = with_missing(docs, doc_id="long", text="string").select(
         k1.alias("_k1"), k2.alias("_k2"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    found = [cut_lineage(search_documents(docs, index, passage, retrieve, overlap, width)) for index in indexes(items, width)]
+    found = [cut_lineage(search_documents(docs, index, passage, retrieve, overlap)) for index in indexes(items, width)]
     if not found:
         return docs.sparkSession.createDataFrame([], "_k1 long, _k2 long, doc_id long, item_id long, question double, answer double")
     out = found[0]

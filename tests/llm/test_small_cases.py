@@ -352,6 +352,32 @@ def test_pairs_under_a_shared_template_equal_brute_force(spark):
     assert {i: r["component_id"] for i, r in out.items()} == matrix_groups(rows, 4, 80)
 
 
+@pytest.mark.parametrize("leaf", [4, 48])
+def test_a_tail_on_one_member_of_a_large_group(spark, leaf):
+    """Texts that are near one of a thousand near copies only, and a chain of texts behind it."""
+    rng = random.Random(21)
+    fresh = (f"n{k}" for k in itertools.count())
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(0, len(words), 5), n):
+            out[at] = next(fresh)
+        return out
+
+    base = [f"b{k}" for k in range(150)]
+    texts = [changed(base, rng.randrange(0, 2)) for _ in range(1_000)]
+    for _ in range(6):
+        member = changed(base, 3)
+        texts += [member, tail := changed(member, 3), changed(tail, 3)]
+    texts += [[f"x{j}-{k}" for k in range(60)] for j in range(30)]
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+    out = by_id(near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, DOC), width=4, percent=80, leaf=leaf))
+    want = matrix_groups(rows, 4, 80)
+    assert len(set(want.values())) < 45
+    assert {i: r["component_id"] for i, r in out.items()} == want
+
+
 def test_near_duplicates_edge_tables(spark):
     assert near_duplicates.near_duplicate_groups(spark.createDataFrame([], DOC)).count() == 0
     text = prose(40)
@@ -392,6 +418,38 @@ def test_vectors_equal_brute_force(spark):
     assert vector_duplicates.vector_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_pair_found_from_one_side_counts_for_both_ends(spark):
+    """Pairs that link with nothing else, at a margin so small that many are met at one home only or at none."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for k in range(400):
+        v = rng.standard_normal(24)
+        v /= np.linalg.norm(v)
+        w = rng.standard_normal(24)
+        w -= (w @ v) * v
+        for x in (v, 0.94 * v + np.sqrt(1 - 0.94**2) * w / np.linalg.norm(w)):
+            rows.append((len(rows), [float(t) for t in x], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = by_id(vector_duplicates.vector_duplicates(df, recall=0.05), "vec_id")
+    met = [(out[i], out[i + 1]) for i in range(0, 800, 2)]
+    assert all(a["n_links"] == b["n_links"] == int(a["component_id"] == b["component_id"]) for a, b in met)
+    assert 0.05 < sum(a["n_links"] for a, _ in met) / 400 < 0.999
+
+
+def test_the_traversal_visits_all_cells_within_the_margin():
+    rng = np.random.default_rng(15)
+    rows = rng.standard_normal((500, 12))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    grid = vector_duplicates.Grid(rows, 16, 0.93, 0.9)
+    home, visits = grid.visits(rows[:60])
+    first, second = grid.halves(rows[:60])
+    cost = (first[:, :, None] + second[:, None, :]).reshape(60, -1)
+    assert (home == cost.argmin(axis=1)).all()
+    for k in range(60):
+        assert sorted(visits[k]) == np.flatnonzero(cost[k] <= cost[k].min() + grid.margin).tolist()
+        assert (np.diff(first[k][visits[k] // 16]) >= 0).all()
+
+
 def test_equal_vectors_count_each_other(spark):
     rows = [(i, [1.0, 2.0, 3.0], 1) for i in (4, 2, 9)] + [(1, [1.0, 2.0, 3.0], 2), (None, [1.0, 2.0, 3.0], 1), (7, [2.0, 4.0, 6.0], 1)]
     out = by_id(vector_duplicates.vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")), "vec_id")
@@ -478,6 +536,50 @@ def test_passages_with_items_are_found(spark):
     assert decontamination.contaminated(df.limit(0), table).count() == 0
 
 
+@pytest.mark.parametrize("size", [24, 60, 128, 300, 1_000])
+def test_items_of_any_length_are_found(spark, size):
+    """Held word for word, with question and answer far apart, and in part, as a plain count of shingles says."""
+    rng = random.Random(size)
+    many = [f"v{k}" for k in range(5_000)]
+    text = lambda n: [rng.choice(many) for _ in range(n)]
+    items = [text(size) for _ in range(12)]
+    docs = []
+    for k, item in enumerate(items):
+        half = size // 2
+        docs.append(text(100) + item + text(300))
+        docs.append(item[half:] + text(700) + item[:half])
+        docs.append(item[:half] + text(200))
+        docs.append(text(50) + item[: -size // 20] + text(60))
+        docs.append(text(400))
+
+    def shingle_set(words):
+        return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+    want = set()
+    for d, words in enumerate(docs):
+        have = shingle_set(words)
+        for k, item in enumerate(items):
+            parts = [shingle_set(item[: size // 2]), shingle_set(item[size // 2 :])]
+            if all(len(p & have) >= 0.8 * len(p) for p in parts):
+                want.add((d, k))
+    assert len(want) >= 24
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    found = decontamination.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
+def test_ten_thousand_items_are_one_scan(spark):
+    rng = random.Random(8)
+    many = [f"v{k}" for k in range(20_000)]
+    items = [[rng.choice(many) for _ in range(20)] for _ in range(10_000)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    found = list(decontamination.indexes(table, 5))
+    assert len(found) == 1
+    docs = [(k, " ".join([rng.choice(many) for _ in range(300)] + items[k * 97])) for k in range(40)]
+    hits = decontamination.contaminated(spark.createDataFrame(docs, DOC), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in hits} == {(k, k * 97) for k in range(40)}
+
+
 def test_wand_loses_nothing_and_several_indexes_agree(spark, monkeypatch):
     rng = random.Random(10)
     items = [(i, [w.encode() for w in prose(rng.randint(5, 40), rng).split()]) for i in range(90)]
@@ -498,5 +600,5 @@ def test_wand_loses_nothing_and_several_indexes_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(50, rng) + " " + b" ".join(items[i][1]).decode()) for i in range(30)], DOC)
     pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, table).collect()}
     one = pairs()
-    monkeypatch.setattr(decontamination, "INDEX_ITEMS", 25)
+    monkeypatch.setattr(decontamination, "INDEX_WORDS", 600)
     assert pairs() == one >= {(i, i) for i in range(30)}

@@ -1,9 +1,11 @@
 """Near-duplicate vectors within a label through an inverted multi-index.
 
 Unit vectors are cut in two halves, each with a codebook of its own; the pairs of centres form a
-grid of cells. Every vector lies in its home cell and visits the cells around it in order of the
-summed squared distances of its halves to their centres (the multi-sequence order), up to a
-margin above its home. Pairs that meet are compared exactly, in double precision.
+grid of cells. Every vector lies in its home cell and visits the cells whose summed squared
+distances of its halves to their centres lie within a margin above its home. They are walked in
+the two sorted lists of distances (the multi-sequence traversal), so only cells that are visited are
+made. Pairs that meet are compared exactly, in double precision. A pair can meet at the home of
+either end; it is counted once for both ends, whichever of them found it.
 
 The codebooks and the margin come from a bounded sample (`SAMPLE` distinct vectors, by hash). For
 the margin each sampled vector is turned to exactly the least similarity in a random direction,
@@ -97,44 +99,56 @@ class Grid:
         noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
         norm = np.linalg.norm(noise, axis=1, keepdims=True)
         twins = least * sample + np.sqrt(1 - least**2) * noise / np.maximum(norm, 1e-12)
-        cost = self.costs(sample)
-        at = self.costs(twins).argmin(axis=1)
-        over = cost[np.arange(len(cost)), at] - cost.min(axis=1)
+        over = np.zeros(len(sample))
+        # the home of a twin is the nearest centre of each half, so no cell has to be listed
+        for own, other in zip(self.halves(sample), self.halves(twins)):
+            over += own[np.arange(len(own)), other.argmin(axis=1)] - own.min(axis=1)
         self.margin = float(np.quantile(over, recall)) + 1e-9
 
-    def costs(self, rows: np.ndarray) -> np.ndarray:
-        """Summed squared distance of every row to every cell."""
-        first = squared_distances(rows[:, : self.half], self.books[0])
-        second = squared_distances(rows[:, self.half :], self.books[1])
-        return (first[:, :, None] + second[:, None, :]).reshape(len(rows), -1)
-
-    def visits(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The home cell of each row, and (row, cell) of all its visits within the margin."""
-        cost = self.costs(rows)
-        who, cell = np.nonzero(cost <= cost.min(axis=1, keepdims=True) + self.margin)
-        return cost.argmin(axis=1), who, cell
+    def halves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the two halves of every row to their centres."""
+        return squared_distances(rows[:, : self.half], self.books[0]), squared_distances(rows[:, self.half :], self.books[1])
+
+    def visits(self, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The home cell of each row, and the cells it visits within the margin, home among them."""
+        first, second = self.halves(rows)
+        wide = len(self.books[1])
+        home, out = first.argmin(axis=1) * wide + second.argmin(axis=1), []
+        order_a, order_b = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
+        for k in range(len(rows)):
+            a, b = first[k, order_a[k]], second[k, order_b[k]]
+            limit = a[0] + b[0] + self.margin
+            n = np.searchsorted(b, limit - a[: np.searchsorted(a, limit - b[0], "right")], "right")
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out.append(np.repeat(order_a[k, : len(n)], n) * wide + order_b[k, inside])
+        return home, out
 
 
 def grid_size(rows: int) -> int:
     """Centres of a half, so that a cell holds a few dozen of the rows that may meet."""
-    return int(min(max(2 ** round(np.log2(max(rows / PER_CELL, 1)) / 2), 2), 256))
+    return int(min(max(2 ** round(np.log2(max(rows / PER_CELL, 1)) / 2), 2), 1024))
 
 
 def route(classes: DataFrame, grid: Grid, wide: bool) -> DataFrame:
-    """(label, cell, rid, m, vec, base): each class once at home (base) and once for every visit."""
+    """(label, cell, rid, m, vec, base, home, seen): each class once at home (base), with the cells it
+    visits (`seen`), and once for every visit."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["label", "rid", "m", "vec", "cell", "base", "home", "seen"]
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                home, who, cell = grid.visits(unit_rows(batch.column("vec").to_pylist(), wide))
-                for rows, cells, base in ((np.arange(len(home)), home, True), (who, cell, False)):
+                home, visits = grid.visits(unit_rows(batch.column("vec").to_pylist(), wide))
+                who = np.repeat(np.arange(len(home)), [len(v) for v in visits])
+                seen = pa.array([np.sort(v).astype(np.int64).tobytes() for v in visits], pa.binary())
+                for rows, cells, base in ((np.arange(len(home)), home, True), (who, np.concatenate([*visits, np.empty(0, dtype=np.int64)]), False)):
                     out = batch.select(["label", "rid", "m", "vec"]).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [*out.columns, pa.array(cells.astype(np.int64)), pa.array(np.full(len(rows), base))], ["label", "rid", "m", "vec", "cell", "base"]
-                    )
+                    more = [pa.array(cells.astype(np.int64)), pa.array(np.full(len(rows), base)), pa.array(home[rows].astype(np.int64)), seen if base else pa.nulls(len(rows), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *more], names)
 
-    return classes.select("label", "rid", "m", "vec").mapInArrow(send, "label string, rid long, m long, vec binary, cell long, base boolean")
+    return classes.select("label", "rid", "m", "vec").mapInArrow(
+        send, "label string, rid long, m long, vec binary, cell long, base boolean, home long, seen binary"
+    )
 
 
 def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +165,7 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 
 def tile_links(routed: DataFrame, least: float, wide: bool, tile: int) -> DataFrame:
-    """(rid, to, n): links of each class that were found in a tile (n, counting copies), and forest edges."""
+    """(rid, to, n): links of each class that a tile counts (n, with copies), and forest edges."""
 
     def compare(key, base: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         if not len(base) or not len(query):
@@ -159,9 +173,14 @@ def tile_links(routed: DataFrame, least: float, wide: bool, tile: int) -> DataFr
         b, q = base["rid"].to_numpy(), query["q_rid"].to_numpy()
         linked = unit_rows(list(query["q_vec"]), wide) @ unit_rows(list(base["vec"]), wide).T >= least
         linked &= q[:, None] != b[None, :]
-        n = linked @ base["m"].to_numpy()
+        # found at the other home as well: counted where the smaller one asks
+        counts, home = linked.copy(), query["q_home"].to_numpy()
+        for k in np.flatnonzero(linked.any(axis=0)):
+            both = np.isin(home, np.frombuffer(base["seen"].iat[k], dtype=np.int64))
+            counts[:, k] &= ~both | (q < b[k])
         to_q, to_b = forest(linked, q, b)
-        out = pd.DataFrame({"rid": np.concatenate([q, b]), "to": np.concatenate([to_q, to_b]), "n": np.concatenate([n, np.zeros(len(b), dtype=np.int64)])})
+        n = np.concatenate([counts @ base["m"].to_numpy(), query["q_m"].to_numpy() @ counts])
+        out = pd.DataFrame({"rid": np.concatenate([q, b]), "to": np.concatenate([to_q, to_b]), "n": n})
         return out[(out["n"] > 0) | (out["to"] < out["rid"])]
 
     sizes = counted(
@@ -172,10 +191,11 @@ def tile_links(routed: DataFrame, least: float, wide: bool, tile: int) -> DataFr
     rows = routed.join(sizes, ["label", "cell"])
     mine = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = rows.where("base").select("label", "cell", "rid", "m", "vec", mine("nb").alias("tb"), every("nq").alias("tq"))
+    base = rows.where("base").select("label", "cell", "rid", "m", "vec", "seen", mine("nb").alias("tb"), every("nq").alias("tq"))
     # other names, as both sides come from one table
     query = rows.where("not base").select(
         F.col("label").alias("q_label"), F.col("cell").alias("q_cell"), F.col("rid").alias("q_rid"), F.col("vec").alias("q_vec"),
+        F.col("m").alias("q_m"), F.col("home").alias("q_home"),
         mine("nq").alias("q_tq"), every("nb").alias("q_tb"),
     )
     return base.groupBy("label", "cell", "tb", "tq").cogroup(query.groupBy("q_label", "q_cell", "q_tb", "q_tq")).applyInPandas(compare, "rid long, to long, n long")

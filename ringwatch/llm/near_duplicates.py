@@ -4,14 +4,20 @@ A document is the set of its word shingles, reduced to a signature of minwise to
 with equal sets are one class from the start. Each of several independent trees sends every class
 down the minwise tokens that its node selects (a node picks token places by a hash of its own
 name, 1 / similarity of them on average, as in CPSJoin by Christiani, Pagh and Sivertsen 2017).
-Nodes of few classes are compared exhaustively on signatures. A larger node compares all its
-classes with one pivot, lets those go that are very near the pivot (the pivot stands for them), and
-branches again, several tokens at a step, so neither a common passage nor a large group of near
-copies stays in one task.
+Small nodes are compared exhaustively on signatures, larger ones branch again, several tokens at a
+step.
+
+Only the groups of linked classes are wanted, so large groups of near copies are contracted: at every
+step the classes of large nodes are paired with their nodes' pivots, the pair that looks nearest
+is confirmed on full sets, and what these connect is a group. A node whose classes all belong to
+one group is finished, and pairs inside a group are never made, so a group costs a few rows for each of its
+classes and not for each of its pairs. No class leaves a node that holds another group: a node is
+compared at once when few of its pairs lie between groups (a large group and some others), else it
+branches with all its classes. What is still large after LEVELS steps is compared by blocks.
 
 Candidates are confirmed on full sets. First each class with its most similar partner; then, of
-the candidates that would join two different groups, all of them. Pairs inside a group that is
-already connected change nothing and are not checked. Components are those of confirmed links.
+the candidates that would join two different groups, all of them. Components are those of confirmed
+links. Contraction only saves work: a pair it does not confirm is still met in the trees.
 
 A pair at the limit keeps more than one expected copy at every level of a tree: a level sends it
 down 1.25 / s^length paths of that length. By this branching the default of 10 trees brings 9,997 of
@@ -42,11 +48,14 @@ PLACES = 96
 TREES = 10
 LEAF = 48
 MARGIN = 0.15
-DENSE = 0.85
+NEAR = 0.75
 STEP = 6
 SPARE = 1.25
+LEVELS = 6
+#: classes that a node compared at once may have, if its pairs between groups are few for each of them
+DIRECT = 16_384
+BLOCK = 512
 BROADCAST_IDS = 1_000_000
-BROADCAST_PIVOTS = 20_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -171,135 +180,194 @@ def plant_trees(classes: DataFrame, trees: int, places: int, similarity: float)
     return classes.select("rid", "sig").mapInArrow(plant, "node long, rid long")
 
 
+def _estimated(rid: np.ndarray, group: np.ndarray, sig: np.ndarray, least: float, own: np.ndarray | None = None) -> Iterator[tuple]:
+    """(a, b, est) of the pairs between different groups whose signatures agree in a share of at least `least`.
+
+    The largest group is compared with the others, and these with each other. With `own`, a mark
+    of two sides, pairs are those across the sides.
+    """
+    if own is None:
+        names, inverse, n = np.unique(group, return_inverse=True, return_counts=True)
+        rest = inverse != int(np.argmax(n))
+    else:
+        rest = own
+    order = np.argsort(~rest, kind="stable")
+    rid, group, sig = rid[order], group[order], sig[order]
+    m = int(rest.sum())
+    for i in range(m):
+        lo = i + 1 if own is None else m
+        est = (sig[lo:] == sig[i]).mean(axis=1)
+        j = np.flatnonzero((est >= least) & (group[lo:] != group[i])) + lo
+        if len(j):
+            yield np.minimum(rid[i], rid[j]), np.maximum(rid[i], rid[j]), est[j - lo]
+
+
+def _pair_batches(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for part in found:
+        held.append(part)
+        size += len(part[0])
+        if size > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b", "est"])
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b", "est"])
+
+
 def exhaustive_pairs(members: DataFrame, places: int, least: float) -> DataFrame:
-    """(a, b, est): pairs of each node whose signatures agree in a share of at least `least`.
+    """(a, b, est): the pairs of each node between groups that are estimated near.
 
-    `members` (node, rid, sig) come sorted by node within partitions; nodes are small.
+    `members` (node, rid, grp, sig) come sorted by node within partitions; a node has at most
+    DIRECT classes, and pairs between groups in proportion to them.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def nodes() -> Iterator[tuple[np.ndarray, ...]]:
             rest = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                now = (batch.column("node").to_numpy(), batch.column("rid").to_numpy(), signatures_of(batch.column("sig"), places))
+                now = (*(batch.column(c).to_numpy() for c in ("node", "rid", "grp")), signatures_of(batch.column("sig"), places))
                 if rest is not None:
                     now = tuple(np.concatenate(x) for x in zip(rest, now))
                 cuts = np.flatnonzero(np.diff(now[0])) + 1
                 for lo, hi in itertools.pairwise([0, *cuts.tolist()]):
-                    yield now[1][lo:hi], now[2][lo:hi]
+                    yield tuple(x[lo:hi] for x in now[1:])
                 last = int(cuts[-1]) if len(cuts) else 0
                 rest = tuple(x[last:] for x in now)
             if rest is not None:
-                yield rest[1], rest[2]
+                yield rest[1:]
 
-        a, b, est, size = [], [], [], 0
-        for rid, sig in groups():
-            agree = (sig[:, None, :] == sig[None, :, :]).mean(axis=2)
-            i, j = np.nonzero(np.triu(agree >= least, 1))
-            a.append(np.minimum(rid[i], rid[j]))
-            b.append(np.maximum(rid[i], rid[j]))
-            est.append(agree[i, j])
-            size += len(i)
-            if size > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, est)], ["a", "b", "est"])
-                a, b, est, size = [], [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, est)], ["a", "b", "est"])
+        yield from _pair_batches(pair for node in nodes() for pair in _estimated(*node, least))
 
-    return members.select("node", "rid", "sig").mapInArrow(compare, "a long, b long, est double").where("a < b")
+    return members.select("node", "rid", "grp", "sig").mapInArrow(compare, "a long, b long, est double").where("a < b")
 
 
-def pivot_and_branch(members: DataFrame, places: int, similarity: float, least: float) -> DataFrame:
-    """(node, rid, a, b, est): children to go on with (a null) and pairs with the pivot (node null)."""
+def block_pairs(members: DataFrame, sizes: DataFrame, places: int, least: float) -> DataFrame:
+    """(a, b, est): the same of nodes of any size, block against block."""
+
+    def across(rows: pa.Table) -> pa.Table:
+        a, b, own = rows.column("_a")[0].as_py(), rows.column("_b")[0].as_py(), rows.column("_own").to_numpy()
+        columns = (rows.column("rid").to_numpy(), rows.column("grp").to_numpy(), signatures_of(rows.column("sig"), places))
+        found = list(_pair_batches(_estimated(*columns, least, None if a == b else own == a)))
+        return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())]))
+
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = members.select("node", "rid", "grp", "sig").join(sizes.select("node", blocks.alias("_n")), "node")
+    spread = spread.withColumn("_own", F.pmod(F.xxhash64("rid"), "_n").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    spread = spread.withColumns({"_a": F.least("_own", "_other"), "_b": F.greatest("_own", "_other")}).drop("_n", "_other")
+    return spread.groupBy("node", "_a", "_b").applyInArrow(across, "a long, b long, est double").where("a < b")
+
+
+def branches(members: DataFrame, places: int, similarity: float) -> DataFrame:
+    """(node, rid, grp): the classes of large nodes at the ends of their node's paths."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, rid = (batch.column(c).to_numpy() for c in ("node", "rid"))
-            pivot = batch.column("pivot").to_numpy()
-            sig, other = signatures_of(batch.column("sig"), places), signatures_of(batch.column("pivot_sig"), places)
-            est = (sig == other).mean(axis=1)
-            near = (est >= least) & (rid != pivot)
-            if near.any():
-                yield out(None, None, np.minimum(rid, pivot)[near], np.maximum(rid, pivot)[near], est[near])
-            on = np.flatnonzero((est < DENSE) | (rid == pivot))
-            on = on[np.argsort(node[on], kind="stable")]
+            node, rid, grp = (batch.column(c).to_numpy() for c in ("node", "rid", "grp"))
+            sig = signatures_of(batch.column("sig"), places)
+            on = np.argsort(node, kind="stable")
             for mine in np.split(on, np.flatnonzero(np.diff(node[on])) + 1):
-                if len(mine):
-                    name = int(node[mine[0]])
-                    for j, path in enumerate(paths(name, places, similarity)):
-                        yield out(path_ends(name, path, j, sig[mine]), rid[mine], None, None, None)
-
-    def out(node, rid, a, b, est) -> pa.RecordBatch:
-        n = len(node if node is not None else a)
-        ints = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (node, rid, a, b)]
-        return pa.RecordBatch.from_arrays([*ints, pa.nulls(n, pa.float64()) if est is None else pa.array(est)], ["node", "rid", "a", "b", "est"])
+                name = int(node[mine[0]])
+                for j, path in enumerate(paths(name, places, similarity)):
+                    columns = (path_ends(name, path, j, sig[mine]), rid[mine], grp[mine])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["node", "rid", "grp"])
 
-    return members.select("node", "rid", "sig", "pivot", "pivot_sig").mapInArrow(branch, "node long, rid long, a long, b long, est double")
+    return members.select("node", "rid", "grp", "sig").mapInArrow(branch, "node long, rid long, grp long")
 
 
 def settle(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) of the nodes of two, the members (node, rid, n, pivot) of the larger
-    ones, and the list (node, n, pivot) of the large ones.
+    """Pairs (a, b) of the nodes of two, the members (node, rid, grp, large) of the other nodes, and
+    the large nodes (node, n).
 
-    A node that holds the same classes as another small one is compared once. The pivot is null for
-    members of small nodes.
+    Nodes of one group are finished. A node that holds the same classes as another one that is
+    compared at once is compared once.
     """
+    per_group = rows.groupBy("node", "grp").agg(
+        F.count(F.lit(1)).alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bit_xor(F.xxhash64("rid")).alias("x")
+    )
     nodes = cut_lineage(
-        rows.groupBy("node")
+        per_group.groupBy("node")
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("rid").alias("lo"),
-            F.max("rid").alias("hi"),
-            F.bit_xor(F.xxhash64("rid")).alias("x"),
-            F.min_by("rid", F.xxhash64("rid", "node")).alias("pivot"),
+            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.bit_xor("x").alias("x"), F.min("grp").alias("g0"), F.max("grp").alias("g1"),
         )
-        .where("n > 1 and lo < hi")
+        .where("g0 < g1")
     )
     pairs = nodes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    small = nodes.where((F.col("n") > 2) & (F.col("n") <= leaf)).groupBy("n", "lo", "hi", "x").agg(F.min("node").alias("node"))
-    large = nodes.where(F.col("n") > leaf).select("node", "n", "pivot")
-    wanted = small.select("node", "n", F.lit(None).cast("long").alias("pivot")).unionByName(large)
-    members = cut_lineage(rows.join(wanted, "node"))
-    return pairs, members, large
+    # at most half a leaf of other groups for each class on average, so pairs stay in proportion to classes
+    few = (F.col("n") <= leaf) | ((F.col("n") <= DIRECT) & (F.col("n") * F.col("n") - F.col("inside") <= leaf * F.col("n")))
+    small = nodes.where((F.col("n") > 2) & few).groupBy("n", "lo", "hi", "x").agg(F.min("node").alias("node"))
+    large = nodes.where((F.col("n") > 2) & ~few).select("node", "n")
+    wanted = small.select("node", F.lit(False).alias("large")).unionByName(large.select("node", F.lit(True).alias("large")))
+    return pairs, cut_lineage(rows.join(wanted, "node")), large
+
+
+def pairs_with_pivots(rows: DataFrame, classes: DataFrame, places: int, least: float) -> DataFrame:
+    """(a, b, est): every class with the pivot of one of its nodes, where it looks nearest, if that is near.
+
+    `rows` (node, rid, grp) are members of large nodes; a pivot of the own group is passed over.
+    """
+    pivots = cut_lineage(rows.groupBy("node").agg(F.min_by(F.struct("rid", "grp"), F.xxhash64("rid", "node")).alias("p")))
+    own = rows.join(pivots.select("node", F.col("p.rid").alias("pivot"), F.col("p.grp").alias("other")), "node").where("grp <> other")
+    pairs = own.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct()
+    near = cut_lineage(with_signatures(pairs, classes, places, least))
+    both = near.select("a", "b", "est", F.explode(F.array("a", "b")).alias("v"))
+    best = both.groupBy("v").agg(F.max_by(F.struct("a", "b", "est"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
+    return best.select("p.a", "p.b", "p.est").distinct()
+
+
+def with_signatures(pairs: DataFrame, classes: DataFrame, places: int, least: float) -> DataFrame:
+    side = lambda key, name: classes.select(F.col("rid").alias(key), F.col("sig").alias(name))
+    return two_of_a_kind(pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b"), places, least)
+
+
+def grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, rid, grp): the rows under the groups as they are now."""
+    known = groups.select(F.col("id").alias("rid"), "component")
+    return cut_lineage(rows.select("node", "rid").join(known, "rid", "left").select("node", "rid", F.coalesce("component", "rid").alias("grp")))
 
 
 def chosen_path_pairs(
-    classes: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, places: int = PLACES, leaf: int = LEAF
-) -> DataFrame:
-    """(a, b, est): candidate pairs of classes (rid, sig), a < b, from all trees."""
+    docs: DataFrame, classes: DataFrame, width: int, percent: int, trees: int = TREES, places: int = PLACES, leaf: int = LEAF
+) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, est) of classes (rid, sig) from all trees, a < b, and the groups (id, component)
+    that were contracted on the way; candidates lay in different groups when they were made."""
+    similarity = percent / 100
     least, sigs = similarity - MARGIN, classes.select("rid", "sig")
-    sig_as = lambda df, key, name: df.select(F.col("rid").alias(key), F.col("sig").alias(name))
-    rows, found, twos = cut_lineage(plant_trees(classes, trees, places, similarity).distinct()), [], []
-    while True:
+    groups = docs.sparkSession.createDataFrame([], "id long, component long")
+    rows = cut_lineage(plant_trees(classes, trees, places, similarity).distinct().withColumn("grp", F.col("rid")))
+    found, twos = [], []
+    for level in range(LEVELS + 1):
+        big = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where((F.col("n") > leaf) & (F.col("g0") < F.col("g1")))
+        in_big = cut_lineage(rows.join(big.select("node"), "node"))
+        before, groups = groups, contracted(docs, classes, in_big, groups, width, percent, places)
+        if groups is not before:
+            rows = grouped(rows, groups)
         pairs, members, large = settle(rows, leaf)
         twos.append(pairs)
         # deeper nodes hold some of these classes and no others, so only their signatures move on
         sigs = cut_lineage(sigs.join(members.select("rid").distinct(), "rid", "left_semi"))
-        with_sig = members.where("pivot is null").select("node", "rid").join(sigs, "rid").repartition("node").sortWithinPartitions("node", "rid")
+        with_sig = members.where("not large").drop("large").join(sigs, "rid").repartition("node").sortWithinPartitions("node", "rid")
         found.append(exhaustive_pairs(with_sig, places, least))
-        n_large = large.count()
-        if not n_large:
+        if large.isEmpty():
             break
-        pivots = large.select("node", "pivot").join(sig_as(sigs, "pivot", "pivot_sig"), "pivot")
-        pivots = F.broadcast(pivots) if n_large <= BROADCAST_PIVOTS else pivots
-        branching = members.where("pivot is not null").drop("pivot").join(sigs, "rid").join(pivots, "node")
-        moved = cut_lineage(pivot_and_branch(branching, places, similarity, least))
-        found.append(moved.where("a is not null").select("a", "b", "est"))
-        rows = moved.where("node is not null").select("node", "rid").distinct()
+        on = members.where("large").drop("large").join(sigs, "rid")
+        if level == LEVELS:
+            found.append(block_pairs(on, large, places, least))
+            break
+        rows = cut_lineage(branches(on, places, similarity).distinct())
     two = twos[0]
     for more in twos[1:]:
         two = two.unionByName(more)
     # a pair is a node of two
-    flat = two.distinct().join(sig_as(classes, "a", "sa"), "a").join(sig_as(classes, "b", "sb"), "b")
-    found.append(two_of_a_kind(flat, places, least))
+    found.append(with_signatures(two.distinct(), classes, places, least))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.groupBy("a", "b").agg(F.max("est").alias("est"))
+    return out.groupBy("a", "b").agg(F.max("est").alias("est")), groups
 
 
 def two_of_a_kind(pairs: DataFrame, places: int, least: float) -> DataFrame:
@@ -347,15 +415,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def linked_groups(docs: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id, component) of the classes with a confirmed link."""
+def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component): the groups after links (src, dst) between classes of different groups."""
+    if links.isEmpty():
+        return groups
+    group_of = lambda key, name: groups.select(F.col("id").alias(key), F.col("component").alias(name))
+    # the groups found so far are the nodes of a much smaller graph
+    between = (
+        links.join(group_of("src", "ga"), "src", "left")
+        .join(group_of("dst", "gb"), "dst", "left")
+        .select(F.coalesce("ga", "src").alias("src"), F.coalesce("gb", "dst").alias("dst"))
+    )
+    merged = connected_components(between).select(F.col("id").alias("component"), F.col("component").alias("final"))
+    ends = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    alone = ends.join(groups, "id", "left_anti").select("id", F.col("id").alias("component"))
+    out = groups.unionByName(alone).join(merged, "component", "left")
+    return cut_lineage(out.select("id", F.coalesce("final", "component").alias("component")))
+
+
+def contracted(docs: DataFrame, classes: DataFrame, rows: DataFrame, groups: DataFrame, width: int, percent: int, places: int) -> DataFrame:
+    """(id, component): the groups, with those joined that confirmed links to pivots of large nodes connect."""
+    near = cut_lineage(pairs_with_pivots(rows, classes, places, NEAR))
+    if near.isEmpty():
+        return groups
+    ids = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    links = cut_lineage(confirmed(near, cut_lineage(shingle_sets(docs, ids, width)), percent))
+    return joined_groups(groups, links)
+
+
+def linked_groups(docs: DataFrame, candidates: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of the classes with a confirmed link, from groups of some of them."""
     ids = cut_lineage(candidates.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
     sets = cut_lineage(shingle_sets(docs, ids, width))
     both = candidates.select("a", "b", "est", F.explode(F.array("a", "b")).alias("v"))
     best = both.groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
     first = best.select("p.a", "p.b").distinct()
-    links = cut_lineage(confirmed(first, sets, percent))
-    groups = connected_components(links)
+    groups = joined_groups(groups, cut_lineage(confirmed(first, sets, percent)))
     group_of = lambda key, name: groups.select(F.col("id").alias(key), F.col("component").alias(name))
     apart = (
         candidates.select("a", "b")
@@ -365,19 +460,7 @@ def linked_groups(docs: DataFrame, candidates: DataFrame, width: int, percent: i
         .select("a", "b")
         .join(first, ["a", "b"], "left_anti")
     )
-    more = cut_lineage(confirmed(apart, sets, percent))
-    if more.isEmpty():
-        return groups
-    # the groups found so far are the nodes of a much smaller graph
-    joined = (
-        more.join(group_of("src", "ga"), "src", "left")
-        .join(group_of("dst", "gb"), "dst", "left")
-        .select(F.coalesce("ga", "src").alias("src"), F.coalesce("gb", "dst").alias("dst"))
-    )
-    merged = connected_components(joined).select(F.col("id").alias("component"), F.col("component").alias("final"))
-    ends = more.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    alone = ends.join(groups, "id", "left_anti").select("id", F.col("id").alias("component"))
-    return groups.unionByName(alone).join(merged, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+    return joined_groups(groups, cut_lineage(confirmed(apart, sets, percent)))
 
 
 def near_duplicate_groups(
@@ -396,8 +479,8 @@ def near_duplicate_groups(
             "k1", "k2", F.col("r.doc_id").alias("rid"), F.col("r.sig").alias("sig")
         )
     )
-    candidates = cut_lineage(chosen_path_pairs(classes, percent / 100, trees, places, leaf))
-    groups = linked_groups(docs, candidates, width, percent)
+    candidates, groups = chosen_path_pairs(docs, classes, width, percent, trees, places, leaf)
+    groups = linked_groups(docs, cut_lineage(candidates), groups, width, percent)
     # written, so that the join below shuffles both its sides itself and can split a hot class
     named = cut_lineage(
         classes.select("k1", "k2", "rid")

@@ -56,6 +56,7 @@ LEVELS = 6
 DIRECT = 16_384
 BLOCK = 512
 BROADCAST_IDS = 1_000_000
+BROADCAST_PIVOTS = 20_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -310,10 +311,13 @@ def pairs_with_pivots(rows: DataFrame, classes: DataFrame, places: int, least: f
 
     `rows` (node, rid, grp) are members of large nodes; a pivot of the own group is passed over.
     """
-    pivots = cut_lineage(rows.groupBy("node").agg(F.min_by(F.struct("rid", "grp"), F.xxhash64("rid", "node")).alias("p")))
-    own = rows.join(pivots.select("node", F.col("p.rid").alias("pivot"), F.col("p.grp").alias("other")), "node").where("grp <> other")
-    pairs = own.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct()
-    near = cut_lineage(with_signatures(pairs, classes, places, least))
+    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rid", "grp"), F.xxhash64("rid", "node")).alias("p"))
+    sig_of = lambda key, name: classes.select(F.col("rid").alias(key), F.col("sig").alias(name))
+    # counted few pivots go to the classes with their signatures, so that no pair of signatures is shuffled
+    pivots = pivots.select("node", F.col("p.rid").alias("pivot"), F.col("p.grp").alias("other")).join(sig_of("pivot", "sb"), "pivot")
+    own = rows.join(sig_of("rid", "sa"), "rid").join(counted(pivots, BROADCAST_PIVOTS), "node").where("grp <> other")
+    near = cut_lineage(two_of_a_kind(own.select(F.col("rid").alias("a"), F.col("pivot").alias("b"), "sa", "sb"), places, least))
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est")
     both = near.select("a", "b", "est", F.explode(F.array("a", "b")).alias("v"))
     best = both.groupBy("v").agg(F.max_by(F.struct("a", "b", "est"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
     return best.select("p.a", "p.b", "p.est").distinct()

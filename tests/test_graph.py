@@ -124,6 +124,17 @@ def test_cohesion_equals_pair_mean(spark):
     assert similarity.ring_cohesion(vector_frame(spark, x), members).first()["cohesion"] == pytest.approx(s)
 
 
+def test_cohesion_of_vectors_in_many_groups(spark):
+    x = vectors(12, 4, 8)
+    rows = [(i, x[i].tolist(), [g for g in (0, 1, 2) if i % (g + 1) == 0]) for i in range(12)]
+    listed = spark.createDataFrame(rows, "id long, vector array<double>, grp array<int>")
+    got = {r["grp"]: (r["n"], r["cohesion"]) for r in similarity._mean_pair_similarity(listed, "grp").collect()}
+    for g in (0, 1, 2):
+        own = x[:: g + 1]
+        pairs = (own @ own.T)[np.triu_indices(len(own), k=1)]
+        assert got[g] == (len(own), pytest.approx(pairs.mean()))
+
+
 def test_random_groups_are_distinct(spark):
     groups = similarity.random_groups(spark.range(100), 9, groups=20)
     per = groups.groupBy("grp").agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).collect()

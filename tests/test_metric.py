@@ -1,5 +1,7 @@
 """The similarity join by cells against the join of all blocks."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +82,46 @@ def test_cut_at_a_share_of_all_pairs(spark):
     assert similarity.similarity_cut(df.limit(0)) is None and similarity.similarity_cut(df.limit(1)) is None
 
 
+def united(pairs):
+    parent = {}
+
+    def find(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {v: find(v) for v in parent}
+
+
+@pytest.mark.parametrize("block_rows", [70, 32_768])
+def test_a_forest_stands_for_the_edges_of_a_share_of_all_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(similarity, "PART_ROWS", 64)
+    _, df = units_frame(spark, clusters(600, 5, 12, 0.05, 3))
+    pairs = [(r["src"], r["dst"]) for r in similarity.similarity_graph(df, 0.95, block_rows).collect()]
+    assert len(pairs) > 8000 and len(set(pairs)) == len(pairs)
+    forest = similarity.similarity_graph(df, 0.95, block_rows, forest=True).collect()
+    tiles = math.ceil(600 / 64) if block_rows > 600 else math.ceil(600 / 70)
+    # at most one link per vector and tile, not one per pair
+    assert len(forest) <= 600 * (tiles + 1) < len(pairs)
+    assert united([(r["src"], r["dst"]) for r in forest]) == united(pairs)
+    assert sum(r["pairs"] for r in forest) == len(pairs)
+
+
+def test_blocks_stay_few(spark):
+    units = spark.range(60_000).select("id", F.array(F.lit(1.0)).alias("vector"))
+    copies = similarity._self_blocks(units, similarity.TILE_ROWS)
+    assert copies.count() == 60_000 * similarity.BUSY_BLOCKS  # by blocks of 2,048 rows they were 30 a vector
+
+
+def test_members_of_random_groups_are_not_broadcast(spark):
+    plan = similarity.random_groups(spark.range(1000), 500)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [rn" in plan
+
+
 @pytest.mark.parametrize("cell_rows, spread", [(2048, 0.1), (25, 0.1), (25, 1.0)])
 def test_nearest_equal_all_pairs(spark, cell_rows, spread):
     x, df = units_frame(spark, clusters(400, 6, 12, spread, 9))

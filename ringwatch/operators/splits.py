@@ -1,13 +1,18 @@
 """Folds, hold-outs, samples and bootstrap draws that any run repeats exactly."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringwatch import constants as K
-from ringwatch.functions.hashing import poisson, poisson_one, uniform
+from ringwatch.functions.hashing import poisson_lists, poisson_mode, poisson_one, uniform
 from ringwatch.operators.metrics import score_curve
 from ringwatch.operators.running import exact_quantiles, row_numbers
 
+#: replicates of the binned bootstrap that a batch draws together
+DRAWN_AT_ONCE = 64
+
 
 def stratified_folds(
     df: DataFrame, k: int, label: str, identity: list[str], seed: int | str = 42, name: str = "fold"
@@ -67,7 +72,7 @@ def bootstrap_precision(
     slots = scores.sparkSession.sparkContext.defaultParallelism
     wide = scores.select(*identity, score, label).repartition(slots, *identity)
     copies = wide.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    weight = poisson_one(uniform(seed, "replicate", *identity))
+    weight = poisson_one(seed, "replicate", *identity)
     drawn = copies.withColumn("_w", weight.cast("bigint"))
     hist = (
         drawn.groupBy("replicate", F.col(score).alias("score"))
@@ -85,21 +90,24 @@ def bootstrap_precision_binned(
 
     The histogram has at most 10 ** digits + 1 bins for scores from 0 to 1, whatever the rows. It is
     one array, beside which each replicate draws all bins in its row and adds up its curve; nothing is
-    shuffled but the histogram.
+    shuffled but the histogram. The replicates of a batch draw together.
     """
     binned = F.bround(F.col(score) * 10**digits).cast("long")
     bins = scores.where(F.col(score).isNotNull()).groupBy(binned.alias("bin")).agg(
         F.count_if(F.col(label) == 0).alias("neg"), F.count_if(F.col(label) == 1).alias("pos")
     )
-    packed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "neg", "pos")), asc=False).alias("bins"))
+    bins = bins.withColumns({f"{which}_mode": poisson_mode(F.col(which)) for which in ("neg", "pos")})
+    packed = bins.agg(F.sort_array(F.collect_list(F.struct("bin", "neg", "pos", "neg_mode", "pos_mode")), asc=False).alias("bins"))
     spark = scores.sparkSession
-    slots = min(spark.sparkContext.defaultParallelism, replicates)
+    slots = min(max(spark.sparkContext.defaultParallelism, math.ceil(replicates / DRAWN_AT_ONCE)), replicates)
     rows = spark.range(1, replicates + 1, 1, slots).select(F.col("id").cast("int").alias("replicate"), packed.scalar().alias("bins"))
 
-    def drawn(b: Column, which: str) -> Column:
-        return poisson(uniform(seed, "replicate", b["bin"], F.lit(which)), b[which])
+    def drawn(which: str) -> Column:
+        u = F.transform("bins", lambda b: uniform(seed, "replicate", b["bin"], F.lit(which)))
+        return poisson_lists(u, F.col(f"bins.{which}"), F.col(f"bins.{which}_mode"))
 
-    rows = rows.withColumn("bins", F.transform("bins", lambda b: F.struct(drawn(b, "neg").alias("neg"), drawn(b, "pos").alias("pos"))))
+    rows = rows.select("replicate", drawn("neg").alias("neg"), drawn("pos").alias("pos"))
+    rows = rows.select("replicate", F.arrays_zip("neg", "pos").alias("bins"))
     rows = rows.withColumn("n_pos", F.aggregate("bins", F.lit(0).cast("long"), lambda s, b: s + b["pos"])).where("n_pos >= 2")
     start = F.struct(F.lit(0).cast("long").alias("alerts"), F.lit(0).cast("long").alias("tp"), F.lit(0.0).alias("ap"))
 

@@ -207,6 +207,24 @@ def test_metrics_rows_need_a_dataset(spark):
         M.metrics_rows(spark.createDataFrame([(1,)], "n int"), " ", [])
 
 
+def test_poisson_lists_draw_what_single_draws_are(spark):
+    from ringwatch.functions.hashing import poisson, poisson_lists, poisson_mode, uniform
+
+    df = spark.createDataFrame([(0, 0), (1, 1), (2, 7), (3, 500), (4, 10**7)], "id int, n long")
+    one = {r["id"]: r["k"] for r in df.select("id", poisson(uniform("p", "id"), F.col("n")).alias("k")).collect()}
+    lists = df.withColumns({"u": uniform("p", "id"), "mode": poisson_mode(F.col("n"))}).groupBy().agg(
+        *[F.transform(F.array_sort(F.collect_list(F.struct("id", F.col(c).alias("v")))), lambda s: s["v"]).alias(c) for c in ("u", "n", "mode")]
+    )
+    assert lists.select(poisson_lists(F.col("u"), F.col("n"), F.col("mode"))).first()[0] == [one[k] for k in range(5)]
+    assert one[0] == 0 and abs(one[4] - 10**7) < 5 * 10**3.5
+
+
+def test_binned_bootstrap_takes_no_steps_per_deviation_in_the_plan(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0)], "score double, label int")
+    plan = splits.bootstrap_precision_binned(df, 3)._jdf.queryExecution().toString()
+    assert "sequence" not in plan
+
+
 def test_spread_parts_are_bounded(spark):
     from ringwatch.plans.bindings import spread
 

@@ -9,6 +9,7 @@ from ringwatch import constants as K
 from ringwatch.functions.hashing import poisson_lists, poisson_mode, poisson_one, uniform
 from ringwatch.operators.metrics import score_curve
 from ringwatch.operators.running import exact_quantiles, row_numbers
+from ringwatch.session import cut_lineage
 
 #: replicates of the binned bootstrap that a batch draws together
 DRAWN_AT_ONCE = 64
@@ -131,7 +132,8 @@ def _replicate_precision(hist: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(replicated: DataFrame) -> DataFrame:
-    """Mean and 95% percentile interval over the replicates."""
+    """Mean and 95% percentile interval over the replicates, which are drawn once and written."""
+    replicated = cut_lineage(replicated.select("average_precision"))
     ends = exact_quantiles(replicated, "average_precision", {"ci_lo": 0.025, "ci_hi": 0.975})
     middle = replicated.agg(F.avg("average_precision").alias("m"))
     return ends.withColumn("mean", middle.scalar())

@@ -225,6 +225,19 @@ def test_binned_bootstrap_takes_no_steps_per_deviation_in_the_plan(spark):
     assert "sequence" not in plan
 
 
+def test_bootstrap_interval_draws_replicates_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(i):
+        made.add(1)
+        return float(i)
+
+    replicated = spark.range(0, 20, 1, 2).select(value("id").alias("average_precision"))
+    assert splits.bootstrap_interval(replicated).first()["mean"] == 9.5
+    assert made.value == 20
+
+
 def test_spread_parts_are_bounded(spark):
     from ringwatch.plans.bindings import spread
 

@@ -177,3 +177,15 @@ def test_money_flow_files(spark, tmp_path):
 @pytest.mark.parametrize("name", ["sim_cut", "bootstrap_binned", "typology_clusters", "population_model_scores", "reasons"])
 def test_rows_only_queries_run(name, spark, sf_dir):
     assert entry_point.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_holdout_makes_its_rows_once(spark, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(x):
+        made.add(1)
+        return x
+
+    L.holdout_evaluation(rows.withColumn("x", value("x")), ["x", "z"], lambda: L.logistic(max_iter=5), scale=True)
+    assert made.value <= 600

@@ -189,3 +189,17 @@ def test_holdout_makes_its_rows_once(spark, rows):
 
     L.holdout_evaluation(rows.withColumn("x", value("x")), ["x", "z"], lambda: L.logistic(max_iter=5), scale=True)
     assert made.value <= 600
+
+
+def test_random_search_fills_the_cores_with_fits_of_few_parts(spark, monkeypatch):
+    rows = [(i, i % 2, float(i % 7), int(i % 5 == 0)) for i in range(60)]
+    folded = spark.createDataFrame(rows, "account_id long, fold int, x double, label int").coalesce(1)
+    seen, side_by_side = [], L.side_by_side
+
+    def at_most(tasks, at_once=4):
+        seen.append(at_once)
+        return side_by_side(tasks[:2], at_once)
+
+    monkeypatch.setattr(L, "side_by_side", at_most)
+    L.random_search(folded, ["x"], 2, draws=1)
+    assert seen == [max(4, spark.sparkContext.defaultParallelism)]

@@ -12,7 +12,8 @@ step the classes of large nodes are paired with their nodes' pivots, the pair th
 is confirmed on full sets, and what these connect is a group. A node whose classes all belong to
 one group is finished, and pairs inside a group are never made, so a group costs a few rows for each of its
 classes and not for each of its pairs. No class leaves a node that holds another group: a node is
-compared at once when few of its pairs lie between groups (a large group and some others), else it
+compared at once when the pairs between its groups are few for each of its classes (a large group and
+some others, or some hundred classes), which is less work than to send the classes on; else it
 branches with all its classes. What is still large after LEVELS steps is compared by blocks.
 
 Candidates are confirmed on full sets. First each class with its most similar partner; then, of
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ringwatch.llm.common import counted, replacing, with_missing
 from ringwatch.operators.components import connected_components
-from ringwatch.session import cut_lineage
+from ringwatch.session import cut_lineage, let_go
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -52,9 +53,15 @@ NEAR = 0.75
 STEP = 6
 SPARE = 1.25
 LEVELS = 6
+#: a contracted node is compared at once up to that many leaves of pairs between groups for each class
+LEAVES = 10
+#: times that the classes of large nodes meet other pivots of their nodes before they are compared
+TURNS = 3
 #: classes that a node compared at once may have, if its pairs between groups are few for each of them
 DIRECT = 16_384
 BLOCK = 512
+#: sets of each side of a block in which pairs are confirmed
+BLOCK_SETS = 256
 BROADCAST_IDS = 1_000_000
 BROADCAST_PIVOTS = 20_000
 
@@ -279,12 +286,13 @@ def branches(members: DataFrame, places: int, similarity: float) -> DataFrame:
     return members.select("node", "rid", "grp", "sig").mapInArrow(branch, "node long, rid long, grp long")
 
 
-def settle(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def settle(rows: DataFrame, leaf: int, leaves: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b) of the nodes of two, the members (node, rid, grp, large) of the other nodes, and
     the large nodes (node, n).
 
-    Nodes of one group are finished. A node that holds the same classes as another one that is
-    compared at once is compared once.
+    A node is large beyond a leaf, but not with at most `leaves` leaves of pairs between groups for each
+    class. Nodes of one group are finished. A node that holds the same classes as another one that
+    is compared at once is compared once.
     """
     per_group = rows.groupBy("node", "grp").agg(
         F.count(F.lit(1)).alias("c"), F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.bit_xor(F.xxhash64("rid")).alias("x")
@@ -298,20 +306,22 @@ def settle(rows: DataFrame, leaf: int) -> tuple[DataFrame, DataFrame, DataFrame]
         .where("g0 < g1")
     )
     pairs = nodes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    # at most half a leaf of other groups for each class on average, so pairs stay in proportion to classes
-    few = (F.col("n") <= leaf) | ((F.col("n") <= DIRECT) & (F.col("n") * F.col("n") - F.col("inside") <= leaf * F.col("n")))
+    # so pairs stay in proportion to classes
+    between = F.col("n") * F.col("n") - F.col("inside")
+    few = (F.col("n") <= leaf) | ((F.col("n") <= DIRECT) & (between <= leaves * leaf * F.col("n")))
     small = nodes.where((F.col("n") > 2) & few).groupBy("n", "lo", "hi", "x").agg(F.min("node").alias("node"))
     large = nodes.where((F.col("n") > 2) & ~few).select("node", "n")
     wanted = small.select("node", F.lit(False).alias("large")).unionByName(large.select("node", F.lit(True).alias("large")))
     return pairs, cut_lineage(rows.join(wanted, "node")), large
 
 
-def pairs_with_pivots(rows: DataFrame, classes: DataFrame, places: int, least: float) -> DataFrame:
+def pairs_with_pivots(rows: DataFrame, classes: DataFrame, places: int, least: float, turn: int = 0) -> DataFrame:
     """(a, b, est): every class with the pivot of one of its nodes, where it looks nearest, if that is near.
 
     `rows` (node, rid, grp) are members of large nodes; a pivot of the own group is passed over.
+    Each turn has pivots of its own.
     """
-    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rid", "grp"), F.xxhash64("rid", "node")).alias("p"))
+    pivots = rows.groupBy("node").agg(F.min_by(F.struct("rid", "grp"), F.xxhash64("rid", "node", F.lit(turn))).alias("p"))
     sig_of = lambda key, name: classes.select(F.col("rid").alias(key), F.col("sig").alias(name))
     # counted few pivots go to the classes with their signatures, so that no pair of signatures is shuffled
     pivots = pivots.select("node", F.col("p.rid").alias("pivot"), F.col("p.grp").alias("other")).join(sig_of("pivot", "sb"), "pivot")
@@ -344,25 +354,39 @@ def chosen_path_pairs(
     groups = docs.sparkSession.createDataFrame([], "id long, component long")
     rows = cut_lineage(plant_trees(classes, trees, places, similarity).distinct().withColumn("grp", F.col("rid")))
     found, twos = [], []
-    for level in range(LEVELS + 1):
-        big = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where((F.col("n") > leaf) & (F.col("g0") < F.col("g1")))
-        in_big = cut_lineage(rows.join(big.select("node"), "node"))
-        before, groups = groups, contracted(docs, classes, in_big, groups, width, percent, places)
-        if groups is not before:
-            rows = grouped(rows, groups)
-        pairs, members, large = settle(rows, leaf)
+
+    def compare_small(rows: DataFrame, leaves: int) -> tuple[DataFrame, DataFrame]:
+        """The members (node, rid, grp) of the nodes that are large, and these nodes."""
+        nonlocal sigs
+        pairs, members, large = settle(rows, leaf, leaves)
         twos.append(pairs)
         # deeper nodes hold some of these classes and no others, so only their signatures move on
         sigs = cut_lineage(sigs.join(members.select("rid").distinct(), "rid", "left_semi"))
         with_sig = members.where("not large").drop("large").join(sigs, "rid").repartition("node").sortWithinPartitions("node", "rid")
         found.append(exhaustive_pairs(with_sig, places, least))
+        return members.where("large").drop("large"), large
+
+    for level in range(LEVELS + 1):
+        # only nodes beyond a leaf are contracted
+        rows, large = compare_small(rows, 0)
+        if large.isEmpty():
+            break
+        # a group that lies in parts has as many pairs between its parts as it has inside them
+        for turn in range(TURNS):
+            before, groups = groups, contracted(docs, classes, rows, groups, width, percent, places, turn)
+            if groups is before:
+                break
+            rows = grouped(rows, groups)
+            let_go(docs.sparkSession)
+        rows, large = compare_small(rows, LEAVES)
         if large.isEmpty():
             break
-        on = members.where("large").drop("large").join(sigs, "rid")
+        on = rows.join(sigs, "rid")
         if level == LEVELS:
             found.append(block_pairs(on, large, places, least))
             break
         rows = cut_lineage(branches(on, places, similarity).distinct())
+        let_go(docs.sparkSession)
     two = twos[0]
     for more in twos[1:]:
         two = two.unionByName(more)
@@ -419,6 +443,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def confirmed_in_blocks(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): the same, for pairs that name the same classes many times.
+
+    Pairs are dealt to blocks by both their ends, and a set goes once to each block that has a
+    pair of it: at most once for every pair, and far less where a class has many pairs.
+    """
+    n = sets.select(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias("n")).first()["n"]
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, n))).alias(f"_{c}")
+    dealt = pairs.select("a", "b", side("a"), side("b"))
+    ends = dealt.select("_a", "_b", F.explode(F.array("a", "b")).alias("rid")).distinct().join(sets, "rid")
+    # renamed, as both sides of the cogroup come from the same pairs
+    ends = ends.select(F.col("_a").alias("_c"), F.col("_b").alias("_d"), "rid", "shingles")
+
+    def check(here: pa.Table, own: pa.Table) -> pa.Table:
+        held = {r: np.frombuffer(x.as_py(), dtype=np.uint64) for r, x in zip(own.column("rid").to_pylist(), own.column("shingles"))}
+        keep = []
+        for a, b in zip(here.column("a").to_pylist(), here.column("b").to_pylist()):
+            x, y = held.get(a), held.get(b)
+            both = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+        return here.select(["a", "b"]).rename_columns(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return dealt.groupBy("_a", "_b").cogroup(ends.groupBy("_c", "_d")).applyInArrow(check, "src long, dst long")
+
+
 def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the groups after links (src, dst) between classes of different groups."""
     if links.isEmpty():
@@ -437,9 +486,11 @@ def joined_groups(groups: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(out.select("id", F.coalesce("final", "component").alias("component")))
 
 
-def contracted(docs: DataFrame, classes: DataFrame, rows: DataFrame, groups: DataFrame, width: int, percent: int, places: int) -> DataFrame:
+def contracted(
+    docs: DataFrame, classes: DataFrame, rows: DataFrame, groups: DataFrame, width: int, percent: int, places: int, turn: int = 0
+) -> DataFrame:
     """(id, component): the groups, with those joined that confirmed links to pivots of large nodes connect."""
-    near = cut_lineage(pairs_with_pivots(rows, classes, places, NEAR))
+    near = cut_lineage(pairs_with_pivots(rows, classes, places, NEAR, turn))
     if near.isEmpty():
         return groups
     ids = near.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
@@ -464,7 +515,7 @@ def linked_groups(docs: DataFrame, candidates: DataFrame, groups: DataFrame, wid
         .select("a", "b")
         .join(first, ["a", "b"], "left_anti")
     )
-    return joined_groups(groups, cut_lineage(confirmed(apart, sets, percent)))
+    return joined_groups(groups, cut_lineage(confirmed_in_blocks(apart, sets, percent)))
 
 
 def near_duplicate_groups(

@@ -378,6 +378,30 @@ def test_a_tail_on_one_member_of_a_large_group(spark, leaf):
     assert {i: r["component_id"] for i, r in out.items()} == want
 
 
+def test_nodes_of_some_hundred_classes_are_compared_at_once(spark, monkeypatch):
+    rng = random.Random(31)
+    fresh = (f"h{k}" for k in itertools.count())
+    template = list(itertools.islice(fresh, 75))
+    texts = []
+    for k in range(300):
+        own = list(itertools.islice(fresh, 25))
+        texts.append(template + own)
+        if k < 20:
+            texts.append(template + own[:-8] + list(itertools.islice(fresh, 8)))
+    texts += [[f"y{j}-{k}" for k in range(60)] for j in range(200)]
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+
+    def no_branches(*_):
+        raise AssertionError("a node of some hundred classes branched")
+
+    monkeypatch.setattr(near_duplicates, "branches", no_branches)
+    out = by_id(near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, DOC), width=4, percent=80))
+    want = matrix_groups(rows, 4, 80)
+    assert len(set(want.values())) == 500
+    assert {i: r["component_id"] for i, r in out.items()} == want
+
+
 def test_near_duplicates_edge_tables(spark):
     assert near_duplicates.near_duplicate_groups(spark.createDataFrame([], DOC)).count() == 0
     text = prose(40)

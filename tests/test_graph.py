@@ -43,6 +43,17 @@ def test_components_with_salted_stars(spark, monkeypatch):
     assert got == brute(pairs)
 
 
+def test_components_stop_when_the_edges_are_stars(spark, monkeypatch):
+    """Stars and pairs, also with edges turned and repeated, need no round; a path needs no round to see that it is done."""
+    rounds, step = [], C._round
+    monkeypatch.setattr(C, "_round", lambda *a: rounds.append(1) or step(*a))
+    pairs = [(0, i) for i in range(1, 9)] + [(5, 0), (20, 21), (21, 20), (20, 21), (30, 30)]
+    for more, most in (([], 0), ([(40, 41), (41, 42)], 1)):
+        got = {r["id"]: r["component"] for r in C.connected_components(edges_of(spark, pairs + more)).collect()}
+        assert got == brute(pairs + more) and len(rounds) <= most
+    assert C.connected_components(edges_of(spark, pairs).limit(0)).count() == 0
+
+
 def test_relabelling_keeps_the_partition(spark):
     pairs = [(1, 2), (2, 3), (7, 8), (9, 9)]
     mapped = [(100 - a, 100 - b) for a, b in pairs]

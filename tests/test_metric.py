@@ -117,6 +117,18 @@ def test_blocks_stay_few(spark):
     assert copies.count() == 60_000 * similarity.BUSY_BLOCKS  # by blocks of 2,048 rows they were 30 a vector
 
 
+def test_tiles_shuffle_no_copies_of_vectors(spark, monkeypatch):
+    """Blocks are packed once, one to a partition, and meet without an exchange."""
+    monkeypatch.setattr(similarity, "PART_ROWS", 64)
+    _, df = units_frame(spark, clusters(700, 5, 12, 0.05, 3))
+    blocks = similarity._packed(df, 70)
+    assert sorted(blocks.rdd.mapPartitions(lambda rows: [len([*rows])]).collect()) == [1] * 11
+    assert blocks.agg(F.sum(F.size("ids"))).first()[0] == 700
+    found = similarity._tiles(blocks, None, similarity._above(0.9), "src long, dst long, similarity double")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
 def test_members_of_random_groups_are_not_broadcast(spark):
     plan = similarity.random_groups(spark.range(1000), 500)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [rn" in plan
